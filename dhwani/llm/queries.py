@@ -5,19 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dhwani.llm import setjoin
+from dhwani.llm import bpe, chat, setjoin, urlfilter
 from dhwani.llm.common import table
 
 
+def vocabulary_path() -> str:
+    """Place of the byte-level vocabulary; it must be the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return chat.read_back(chat.packs(rows.union(probe)))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_ngram_jaccard_join]
+    found = [op5_chat_prefix_tree, op6_ngram_jaccard_join, op7_url_range_join, op8_bpe]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_prefix_tree": chat.ORACLE, "op7_url_range_join": urlfilter.ORACLE}
