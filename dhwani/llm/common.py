@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -28,8 +29,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
+    """Write to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    Collecting garbage first lets Spark's cleaner drop the shuffle files of steps that are done.
+    """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dhwani.llm import bpe, chat, setjoin, urlfilter
+from dhwani.llm import bpe, chat, licenses, lmscore, setjoin, toxicity, urlfilter
 from dhwani.llm.common import table
 
 
@@ -18,6 +18,16 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled of good quality."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lmscore.score(table(spark, sf_dir, "documents"), good)
+
+
+def op4_classifier_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -36,10 +46,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", "matched", "total", "n_units")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_chat_prefix_tree, op6_ngram_jaccard_join, op7_url_range_join, op8_bpe]
+    found = [
+        op2_cross_entropy_difference, op4_classifier_chains, op5_chat_prefix_tree, op6_ngram_jaccard_join, op7_url_range_join, op8_bpe,
+        op10_license_scan,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_prefix_tree": chat.ORACLE, "op7_url_range_join": urlfilter.ORACLE}
+    return {"op5_chat_prefix_tree": chat.ORACLE, "op7_url_range_join": urlfilter.ORACLE, "op10_license_scan": licenses.oracle_sql()}

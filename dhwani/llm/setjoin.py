@@ -9,7 +9,9 @@ weak keys), with some units to spare so that useless keys may be left out:
 
 * *empty parts* are keys only for sets that have more of them than the spare units allow;
 * *hot keys* (shared by more than ``HOT`` sets not already in one component) are left out for sets
-  that hold few enough of them; the others go through them one hub at a time. Nothing is capped.
+  that hold few enough of them. Sets with more (a passage of thousands of documents makes up much of
+  them) are compared by their rarest elements instead, an exact way for the rest; what is still hot
+  there goes through in rounds of ``HUBS`` members. Nothing is capped.
 
 Pairs within a group are never listed: every key first links its members to its smallest member
 (a star), verified exactly; later rounds look only at members of one key that are still in different
@@ -37,6 +39,8 @@ from dhwani.llm.wordhash import U, mix, shingle_sets
 
 #: A key with more members than this that still spans components is hot.
 HOT = 32
+#: Members of a hot key that are compared with the others in one round.
+HUBS = 128
 #: Largest band: sets of up to 2**28 elements.
 BANDS = 26
 #: Charge of a one-element part, in rows.
@@ -51,7 +55,7 @@ def bound(a: int, b: int, percent: int) -> int:
     return (100 - percent) * (a + b) // (100 + percent)
 
 
-def _choose(need: int, small: int, large: int) -> tuple[int, int, int]:
+def _choose(need: int, small: int, large: int) -> tuple[int, int, int] | None:
     """(m, d, spare units for empty parts) of least expected cost for sets of small..large elements."""
     best = None
     typical = math.sqrt(small * large)
@@ -67,8 +71,7 @@ def _choose(need: int, small: int, large: int) -> tuple[int, int, int]:
         cost = rows + WEAK * weak
         if best is None or cost < best[0]:
             best = (cost, m, d, m + d - need)
-    assert best
-    return best[1:]
+    return best and best[1:]
 
 
 def plan(percent: int) -> dict[str, np.ndarray]:
@@ -85,8 +88,10 @@ def plan(percent: int) -> dict[str, np.ndarray]:
             (low, edge - 1, bound(edge - 1, edge - 1, percent)),
             (-(-percent * edge // 100), reach, bound(edge - 1, reach, percent)),
         ):
-            hot = 1 + (h + 1) // 10
-            m, d, spare = _choose(h + 1 + hot, lo, hi)
+            hot = min(2 + 2 * (h + 1) // 5, 16 + (h + 1) // 10)
+            while (found := _choose(h + 1 + hot, lo, hi)) is None:
+                hot -= 1  # the smallest sets cannot spare as many
+            m, d, spare = found
             rows.append((m, d, spare, hot, lo, hi))
     return dict(zip(("m", "d", "spare", "hot", "lo", "hi"), np.array(rows, np.int64).T, strict=True))
 
@@ -94,7 +99,7 @@ def plan(percent: int) -> dict[str, np.ndarray]:
 def keys(d: np.ndarray, h: np.ndarray, n_docs: int, percent: int, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Signature keys of sets given as (set index, ascending hash): (set index, key).
 
-    The low six bits of a key are its space.
+    The low six bits of a key are its space, the next one tells keys of two-unit segments.
     """
     size = np.bincount(d, minlength=n_docs)
     first = np.cumsum(size) - size
@@ -129,7 +134,7 @@ def keys(d: np.ndarray, h: np.ndarray, n_docs: int, percent: int, p: dict[str, n
     def key(owner: np.ndarray, segment: np.ndarray, content: np.ndarray) -> np.ndarray:
         sp = space[owner].astype(np.uint64)
         k = mix(content + segment.astype(np.uint64) * U(0x9E3779B97F4A7C15) + sp * U(0xC2B2AE3D27D4EB4F))
-        return (k & ~U(63)) | sp
+        return (k & ~U(127)) | ((segment < two[owner]).astype(np.uint64) << U(6)) | sp
 
     out_e, out_k = [ge], [key(ge, gs, total)]
     # one-deletion neighbourhoods of the two-unit segments
@@ -158,7 +163,10 @@ def _arrow(cols: dict) -> pa.RecordBatch:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2): size and a 128-bit digest of every document's set."""
+    """(doc_id, n_shingles, s1, s2, parts): size, 128-bit digest and part sizes of every document's set.
+
+    ``parts`` counts the elements by their first eight bits (one byte each, at most 255).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(batches, "doc_id", "text"):
@@ -171,10 +179,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                     first = np.flatnonzero(np.diff(d, prepend=-1))
                     acc[d[first]] = np.add.reduceat(mix(h + salt), first)
                 out.append(acc[:-1].view(np.int64))
-            yield _arrow({"doc_id": pa.array(ids, pa.int64()), "n_shingles": n.astype(np.int64), "s1": out[0], "s2": out[1]})
+            parts = np.minimum(np.bincount(d * 256 + (h >> U(56)).astype(np.int64), minlength=256 * len(ids)), 255).astype(np.uint8).tobytes()
+            yield _arrow({
+                "doc_id": pa.array(ids, pa.int64()), "n_shingles": n.astype(np.int64), "s1": out[0], "s2": out[1],
+                "parts": pa.array([parts[256 * i : 256 * i + 256] for i in range(len(ids))], pa.binary())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.where("doc_id is not null").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
+    return rows.where("doc_id is not null").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, parts binary")
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -203,19 +214,24 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     return rows.where("doc_id is not null").mapInArrow(run, "key long, doc long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc, n, items): the sets of the wanted documents, as little-endian 64-bit hashes."""
+def _thinned(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) of the wanted documents and, where they are many, of some others.
+
+    The wanted ids are a bitmap of fixed size, at most ``FILTER_BITS / 64`` rows. What is made of the
+    texts must still be joined with the wanted ids.
+    """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    ids = wanted.select(F.col("doc").alias("doc_id"))
-    # A bitmap of fixed size (at most FILTER_BITS / 64 rows) thins the texts before the exact semi-join.
-    bitmap = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("bits")
-    )
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+    bitmap = wanted.select(F.col("doc").alias("doc_id")).select(slot.alias("slot"))
+    bitmap = bitmap.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("doc_id is not null").withColumn("slot", slot)
     rows = rows.join(F.broadcast(bitmap), F.shiftright("slot", 6) == F.col("word"))
-    rows = rows.where(F.expr("shiftright(bits, cast(slot % 64 as int)) & 1L") != 0).select("doc_id", "text")
-    rows = rows.join(ids, "doc_id", "left_semi")
+    return rows.where(F.col("bits").bitwiseAND(bit) != 0).select("doc_id", "text")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc, n, items): the sets of the wanted documents, as little-endian 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys_, texts in text_chunks(batches, "doc_id", "text"):
@@ -223,15 +239,44 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
             cut = np.searchsorted(d, np.arange(len(keys_) + 1))
             yield _arrow({"doc": pa.array(keys_, pa.int64()), "n": np.diff(cut), "items": pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
-    return rows.mapInArrow(run, "doc long, n long, items binary")
+    sets = _thinned(docs, wanted, id_col, text_col).mapInArrow(run, "doc long, n long, items binary")
+    return sets.join(wanted, "doc", "left_semi")
+
+
+def _rarest(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(key, doc): the rarest elements of the wanted sets, as many as any two linked ones must share one of.
+
+    With all elements in one order (number of wanted sets that hold it, then hash), two linked sets
+    share one of their first ``size - ceil(percent * size / 100) + 1`` elements.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys_, texts in text_chunks(batches, "doc_id", "text"):
+            d, h = shingle_sets(texts, width)
+            n = np.bincount(d, minlength=len(keys_))
+            yield _arrow({"key": h.view(np.int64), "doc": np.asarray(keys_, np.int64)[d], "n": n[d]})
+
+    items = _thinned(docs, wanted, id_col, text_col).mapInArrow(run, "key long, doc long, n long").join(wanted, "doc", "left_semi")
+    often = items.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    at = F.row_number().over(Window.partitionBy("doc").orderBy("often", "key"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return items.join(often, "key").withColumn("at", at).where(F.col("at") <= first).where("often > 1").select("key", "doc")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, stats: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    a = stats.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
-    b = stats.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"))
-    pairs = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = written(pairs.select("a", "b"), "pairs")
+    a = stats.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("parts").alias("pa"))
+    b = stats.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("parts").alias("pb"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for c in ("pa", "pb"))
+            apart = np.abs(x - y).sum(1, dtype=np.int64)  # never more than the symmetric difference
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= (100 - percent) * n // (100 + percent)))
+
+    pairs = pairs.join(a, "a").where(F.col("na") > 0).join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = written(pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(near, "a long, b long"), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     sets = written(_sets(docs, wanted, id_col, text_col, width), "sets")
     both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b").join(
@@ -259,7 +304,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) for every document; see the module's text."""
     stats = written(sketches(docs, id_col, text_col, width), "sketch")
-    full = stats.where("n_shingles > 0")
+    full = stats.where("n_shingles > 0").select("doc_id", "s1", "s2")
     least = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
     equal = full.join(least, ["s1", "s2"]).where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
 
@@ -281,30 +326,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = written(placed(members.where("c > 2").select("key", "doc", "hub", "c"), comp), "open")
     p = plan(percent)
     spare = F.element_at(F.array(*[F.lit(int(x)) for x in p["hot"]]), (F.col("key").bitwiseAND(63) + 1).cast("int"))
-    hot = left.where(F.col("c") > HOT)
-    # a key of a two-unit segment costs up to two units; sets with spare units for all their hot keys need none of them
     space = F.col("key").bitwiseAND(63)
-    unsafe = hot.withColumn("s", space).groupBy("doc", "s").agg(F.count(F.lit(1)).alias("n"), F.first(spare).alias("spare")).where("2 * n > spare")
-    hot = hot.withColumn("s", space).join(unsafe.select("doc", "s"), ["doc", "s"], "left_semi")
-    few = left.where(F.col("c") <= HOT)
-    x = few.select("key", F.col("doc").alias("a"), F.col("component").alias("ca"), "hub")
-    y = few.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"))
-    pairs = x.join(y, "key").where("a < b and ca <> cb and a <> hub").select("a", "b").distinct()
-    hot = written(hot.select("key", "doc"), "hot")
+    units = F.lit(1) + F.shiftright("key", 6).bitwiseAND(1)
+    hot = left.where(F.col("c") > HOT).withColumn("s", space)
+    unsafe = hot.groupBy("doc", "s").agg(F.sum(units).alias("n"), F.first(spare).alias("spare")).where("n > spare").select("doc").distinct()
+    rare = placed(_rarest(docs, written(unsafe, "unsafe"), id_col, text_col, width, percent), comp)
+    rare = written(rare.withColumn("c", F.count(F.lit(1)).over(of_key)), "rare")
+    x = left.where(F.col("c") <= HOT).select("key", "doc", "component", "hub").union(rare.where(F.col("c") <= HOT).select("key", "doc", "component", F.lit(None).cast("long")))
+    y = x.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"))
+    x = x.select("key", F.col("doc").alias("a"), F.col("component").alias("ca"), "hub")
+    pairs = x.join(y, "key").where("a < b and ca <> cb and not a <=> hub").select("a", "b").distinct()
+    hot = rare.where(F.col("c") > HOT)
     todo = pairs
     while True:
-        more = _verify(todo, docs, id_col, text_col, width, percent, stats)
-        more = written(more, "links")
+        more = written(_verify(todo, docs, id_col, text_col, width, percent, stats), "links")
         if not more.isEmpty():
             links = written(links.union(more), "links")
             comp = written(components(links), "comp")
+        # the HUBS smallest members left in each hot key meet all others of other components, then leave
+        at = F.row_number().over(of_key.orderBy("doc"))
+        hot = written(placed(hot.select("key", "doc"), comp).withColumn("at", at), "hot")
         if hot.isEmpty():
             break
-        # the smallest member left in each hot key is compared with those in other components, then leaves
-        hot = placed(hot.select("key", "doc"), comp).withColumn("hub", F.min("doc").over(of_key)).withColumn("ch", F.min_by("component", "doc").over(of_key))
-        hot = written(hot, "hot")
-        todo = hot.where("component <> ch").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-        hot = hot.where("doc <> hub")
+        hubs = hot.where(F.col("at") <= HUBS).select("key", F.col("doc").alias("a"), F.col("component").alias("ca"))
+        todo = hubs.join(hot, "key").where("a < doc and ca <> component").select("a", F.col("doc").alias("b")).distinct()
+        hot = hot.where(F.col("at") > HUBS)
     out = stats.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

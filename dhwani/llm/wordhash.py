@@ -38,19 +38,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"], _POWERS["i"]
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, number of words of every text)."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    solid = ~_BLANK[data]
-    edge = np.flatnonzero(np.diff(solid.view(np.int8), prepend=0))
-    start, end = edge[0::2], edge[1::2]  # the last byte is a blank, so runs close
+def byte_hashes(data: np.ndarray, member: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hash, start, end) of every run of bytes in ``member``, then hashes of their first bytes.
+
+    The last byte must not be a member.
+    """
+    edge = np.flatnonzero(np.diff(member[data].view(np.int8), prepend=0))
+    start, end = edge[0::2], edge[1::2]
     p, inv = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * p[: len(data)], out=total[1:])
     h = mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    first = [mix((total[np.minimum(end, start + k)] - total[start]) * inv[start] + U(k)) for k in prefixes]
+    return h, start, end, *first
+
+
+def words(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray | list[np.ndarray], np.ndarray]:
+    """(hash of every word in order, its length in bytes, number of words of every text).
+
+    With ``prefixes``, the hashes of the words' first so many bytes take the lengths' place.
+    """
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    h, start, end, *first = byte_hashes(data, ~_BLANK, prefixes)
     stop = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     n = np.diff(np.searchsorted(start, stop), prepend=0)
-    return h, n
+    return h, first if prefixes else end - start, n
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +70,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nda
 
     A text of fewer than ``width`` words has its whole sequence as one shingle, one without words none.
     """
-    h, n = words(texts)
+    h, _, n = words(texts)
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), n)
     parts = []
     if len(h) >= width:
