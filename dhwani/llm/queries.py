@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dhwani.llm import bpe, chat, licenses, lmscore, setjoin, toxicity, urlfilter
+from dhwani.llm import bpe, chat, decontam, licenses, lmscore, setjoin, toxicity, urlfilter
 from dhwani.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"), good)
 
 
+def op3_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_classifier_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op2_cross_entropy_difference, op4_classifier_chains, op5_chat_prefix_tree, op6_ngram_jaccard_join, op7_url_range_join, op8_bpe,
+        op2_cross_entropy_difference, op3_qgram_decontamination, op4_classifier_chains, op5_chat_prefix_tree, op6_ngram_jaccard_join, op7_url_range_join, op8_bpe,
         op10_license_scan,
     ]
     return {f.__name__: f for f in found}
