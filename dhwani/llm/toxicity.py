@@ -31,6 +31,7 @@ SHAPES = 5
 #: Lengths of the word beginnings that are features beside the whole words, in bytes.
 PREFIXES = (4, 5)
 FOLDS = 3
+SIGNIFICANT = 5.0
 #: Words in fewer sampled documents than this get no weight.
 LEAST_DOCS = 6
 _UPPER = np.zeros(256)
@@ -69,22 +70,25 @@ def _bare(text: bytes) -> bytes:
 
 
 class Sparse:
-    """Rows of word slots (presence, scaled by one over the root of the row's size) and dense columns."""
+    """Rows of present word slots and dense columns, the last of ones."""
 
     def __init__(self, row: np.ndarray, col: np.ndarray, dense: np.ndarray):
         self.n = len(dense)
         self.row, self.col, self.dense = row, col, dense
-        self.value = np.ones(len(row))
 
     def times(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.col] * self.value, self.n) + self.dense @ v
+        return np.bincount(self.row, w[self.col], self.n) + self.dense @ v
 
     def back(self, g: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.bincount(self.col, g[self.row] * self.value, width), self.dense.T @ g
+        return np.bincount(self.col, g[self.row], width), self.dense.T @ g
 
 
-def logistic(x: Sparse, y: np.ndarray, width: int, rows: np.ndarray, rounds: int = 60, rate: float = 0.08, decay: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of an L2-regularised logistic model on the given rows, by full-batch Adam."""
+def logistic(x: Sparse, y: np.ndarray, width: int, rows: np.ndarray, rounds: int = 200, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of an L2-regularised logistic model on the given rows, by full-batch Adam.
+
+    Slots whose documents have a rate of positives within ``SIGNIFICANT`` deviations of the whole's
+    get no weight.
+    """
     w, v = np.zeros(width), np.zeros(x.dense.shape[1])
     if not rows.any():
         v[-1] = -20.0
@@ -93,17 +97,26 @@ def logistic(x: Sparse, y: np.ndarray, width: int, rows: np.ndarray, rounds: int
     v[-1] = np.log(mean / (1 - mean))
     if y[rows].min() == y[rows].max():
         return w, v
+    of = rows[x.row]
+    have = np.bincount(x.col[of], minlength=width)
+    hit = np.bincount(x.col[of], y[x.row[of]], width)
+    far = np.abs(hit - have * mean) > SIGNIFICANT * np.sqrt(np.maximum(have, 1) * mean * (1 - mean))
+    kept = np.flatnonzero(far)
+    keep = far[x.col]
+    x = Sparse(x.row[keep], np.searchsorted(kept, x.col[keep]), x.dense)
+    whole, w = w, np.zeros(len(kept))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x.times(w, v), -30, 30)))
-        gw, gv = x.back(np.where(rows, p - y, 0.0) / rows.sum(), width)
-        gw += decay * w / width**0.25
+        p = _sigmoid(x.times(w, v))
+        gw, gv = x.back(np.where(rows, p - y, 0.0) / rows.sum(), len(kept))
+        gw += decay * w
         for k, (theta, g) in enumerate(((w, gw), (v, gv))):
             m, s = state[2 * k], state[2 * k + 1]
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
-    return w, v
+    whole[kept] = w
+    return whole, v
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
