@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dhwani.llm import bpe, chat, decontam, licenses, lmscore, setjoin, toxicity, urlfilter
+from dhwani.llm import ann, bpe, chat, decontam, licenses, lmscore, setjoin, toxicity, urlfilter
 from dhwani.llm.common import table
 
 
@@ -18,6 +18,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled of good quality."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -57,7 +61,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op2_cross_entropy_difference, op3_qgram_decontamination, op4_classifier_chains, op5_chat_prefix_tree, op6_ngram_jaccard_join, op7_url_range_join, op8_bpe,
+        op1_learned_partitions, op2_cross_entropy_difference, op3_qgram_decontamination, op4_classifier_chains, op5_chat_prefix_tree, op6_ngram_jaccard_join, op7_url_range_join, op8_bpe,
         op10_license_scan,
     ]
     return {f.__name__: f for f in found}
