@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dhwani.llm import ann, bpe, chat, decontam, licenses, lmscore, setjoin, toxicity, urlfilter
+from dhwani.llm import ann, bpe, chat, decontam, licenses, linededup, lmscore, setjoin, toxicity, urlfilter
 from dhwani.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "license", "matched", "total", "n_units")
@@ -62,10 +66,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_learned_partitions, op2_cross_entropy_difference, op3_qgram_decontamination, op4_classifier_chains, op5_chat_prefix_tree, op6_ngram_jaccard_join, op7_url_range_join, op8_bpe,
-        op10_license_scan,
+        op9_line_dedup, op10_license_scan,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_prefix_tree": chat.ORACLE, "op7_url_range_join": urlfilter.ORACLE, "op10_license_scan": licenses.oracle_sql()}
+    return {"op5_chat_prefix_tree": chat.ORACLE, "op7_url_range_join": urlfilter.ORACLE, "op9_line_dedup": linededup.ORACLE, "op10_license_scan": licenses.oracle_sql()}
