@@ -169,8 +169,12 @@ ORACLE = f"""
 WITH l AS (SELECT doc_id, i - 1 AS pos, string_split(text, chr(10))[i] AS line
            FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)),
 f AS (SELECT line, min({{'d': doc_id, 'p': pos}}) AS id, length(line) AS n FROM l WHERE length(line) >= {MIN_CHARS} GROUP BY line),
-pairs AS (SELECT a.line AS x, b.line AS y, greatest(a.id, b.id) AS id FROM f a JOIN f b
-          ON a.n = b.n AND a.id < b.id OR a.n + 1 = b.n WHERE levenshtein(a.line, b.line) <= 4),
+halves AS (SELECT *, left(line, n // 2) AS l0, substr(line, n // 2 + 1) AS r0, left(line, (n - 1) // 2) AS l1, substr(line, (n - 1) // 2 + 2) AS r1 FROM f),
+met AS (SELECT a.line AS x, b.line AS y, greatest(a.id, b.id) AS id FROM halves a JOIN halves b ON a.n = b.n AND a.l0 = b.l0 WHERE a.id < b.id
+  UNION SELECT a.line, b.line, greatest(a.id, b.id) FROM halves a JOIN halves b ON a.n = b.n AND a.r0 = b.r0 WHERE a.id < b.id
+  UNION SELECT a.line, b.line, greatest(a.id, b.id) FROM halves a JOIN halves b ON a.n + 1 = b.n AND a.l0 = b.l1
+  UNION SELECT a.line, b.line, greatest(a.id, b.id) FROM halves a JOIN halves b ON a.n + 1 = b.n AND a.r0 = b.r1),
+pairs AS (SELECT * FROM met WHERE levenshtein(x, y) <= 4),
 near AS (SELECT DISTINCT id FROM pairs WHERE CASE WHEN length(x) = length(y)
   THEN len(list_filter(range(1, length(x) + 1), lambda p: x[p] <> y[p])) = 1
   ELSE list_contains(list_transform(range(1, length(y) + 1), lambda p: y[:p - 1] || y[p + 1:]), x) END),
