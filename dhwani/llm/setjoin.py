@@ -243,12 +243,27 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
     return sets.join(wanted, "doc", "left_semi")
 
 
+def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(smallest size, first partner class, last partner class) of classes about 2 % wide."""
+    low = [1]
+    while low[-1] < 1 << 29:
+        low.append(max(low[-1] + 1, low[-1] * 51 // 50))
+    low = np.array(low, np.int64)
+    high = np.append(low[1:] - 1, low[-1])
+    first = np.searchsorted(high, -(-percent * low // 100))
+    last = np.searchsorted(low, 100 * high // percent, "right") - 1
+    return low, first, last
+
+
 def _rarest(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(key, doc): the rarest elements of the wanted sets, as many as any two linked ones must share one of.
+    """(key, doc): the rarest elements of the wanted sets, as many as two linked ones must share one of.
 
-    With all elements in one order (number of wanted sets that hold it, then hash), two linked sets
-    share one of their first ``size - ceil(percent * size / 100) + 1`` elements.
+    With all elements in one order (number of wanted sets that hold it, then hash), linked sets of
+    sizes a and b share at least ``o = ceil(percent * (a + b) / (100 + percent))`` elements, so one of the
+    first ``a - o + 1`` of the one is among the first ``b - o + 1`` of the other. A key is an element and
+    the size classes of both.
     """
+    low, first, last = size_classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys_, texts in text_chunks(batches, "doc_id", "text"):
@@ -256,11 +271,25 @@ def _rarest(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, widt
             n = np.bincount(d, minlength=len(keys_))
             yield _arrow({"key": h.view(np.int64), "doc": np.asarray(keys_, np.int64)[d], "n": n[d]})
 
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, doc, n, at = (batch.column(c).to_numpy() for c in ("key", "doc", "n", "at"))
+            c = np.searchsorted(low, n, "right") - 1
+            many = last[c] - first[c] + 1
+            row = np.repeat(np.arange(len(c)), many)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[c][row]
+            share = -(-percent * (low[c[row]] + low[other]) // (100 + percent))
+            ok = at[row] <= n[row] - share + 1
+            row, other = row[ok], other[ok]
+            pair = (np.minimum(c[row], other) << 12) | np.maximum(c[row], other)
+            yield _arrow({"key": mix(key[row].view(np.uint64) + mix(pair.astype(np.uint64))).view(np.int64), "doc": doc[row]})
+
     items = _thinned(docs, wanted, id_col, text_col).mapInArrow(run, "key long, doc long, n long").join(wanted, "doc", "left_semi")
     often = items.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
-    at = F.row_number().over(Window.partitionBy("doc").orderBy("often", "key"))
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return items.join(often, "key").withColumn("at", at).where(F.col("at") <= first).where("often > 1").select("key", "doc")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("often", "key")).cast("long")
+    loosest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = items.join(often, "key").withColumn("at", place).where(F.col("at") <= loosest).where("often > 1")
+    return rare.select("key", "doc", "n", "at").mapInArrow(expand, "key long, doc long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, stats: DataFrame) -> DataFrame:
@@ -303,6 +332,16 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) for every document; see the module's text."""
+    conf, batch = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(batch)
+    conf.set(batch, "512")  # rows hold whole texts or two whole sets
+    try:
+        return _near_duplicates(docs, id_col, text_col, width, percent)
+    finally:
+        conf.set(batch, before)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     stats = written(sketches(docs, id_col, text_col, width), "sketch")
     full = stats.where("n_shingles > 0").select("doc_id", "s1", "s2")
     least = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
