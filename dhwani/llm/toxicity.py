@@ -109,7 +109,7 @@ def logistic(x: Sparse, y: np.ndarray, width: int, rows: np.ndarray, rounds: int
     for t in range(1, rounds + 1):
         p = _sigmoid(x.times(w, v))
         gw, gv = x.back(np.where(rows, p - y, 0.0) / rows.sum(), len(kept))
-        gw += decay * w
+        gw = gw + decay * w
         for k, (theta, g) in enumerate(((w, gw), (v, gv))):
             m, s = state[2 * k], state[2 * k + 1]
             m += 0.1 * (g - m)
@@ -204,22 +204,32 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], train_row
     return chain, [best_cut(out[:, k][~np.isnan(y[:, k])], y[:, k][~np.isnan(y[:, k])]) for k in range(width)]
 
 
-def score(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("quality", "toxic"), train_rows: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, p_<category>..., is_<category>...) of every document."""
+def score(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("quality", "toxic"), train_rows: int = 5000, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """(doc_id, p_<category>..., is_<category>...) of every document.
+
+    ``with_row`` adds the document's own columns as a struct ``row``.
+    """
     chain, cuts = fit(docs, labels, categories, train_rows, id_col, text_col)
     held = docs.sparkSession.sparkContext.broadcast(chain.weights)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if with_row else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = Chain(held.value)
-        for ids, texts in text_chunks(batches, "doc_id", "text"):
-            p = fitted.predict(*features(texts))
-            cols = {"doc_id": pa.array(ids, pa.int64())}
-            for k, c in enumerate(categories):
-                cols[f"p_{c}"] = p[:, k]
-            for k, c in enumerate(categories):
-                cols[f"is_{c}"] = p[:, k] >= cuts[k]
-            yield pa.RecordBatch.from_pydict(cols)
-
-    kinds = [f"p_{c} double" for c in categories] + [f"is_{c} boolean" for c in categories]
-    return rows.mapInArrow(run, ", ".join(["doc_id long", *kinds]))
+        for batch in batches:
+            at = 0
+            for ids, texts in text_chunks([batch], "doc_id", "text"):
+                p = fitted.predict(*features(texts))
+                cols = {"doc_id": pa.array(ids, pa.int64())}
+                for k, c in enumerate(categories):
+                    cols[f"p_{c}"] = p[:, k]
+                for k, c in enumerate(categories):
+                    cols[f"is_{c}"] = p[:, k] >= cuts[k]
+                if with_row:
+                    cols["row"] = batch.column("row").slice(at, len(ids))
+                at += len(ids)
+                yield pa.RecordBatch.from_pydict(cols)
+
+    kinds = ["doc_id long", *(f"p_{c} double" for c in categories), *(f"is_{c} boolean" for c in categories)]
+    if with_row:
+        kinds.append(f"row {rows.schema['row'].dataType.simpleString()}")
+    return rows.mapInArrow(run, ", ".join(kinds))
