@@ -1,11 +1,65 @@
-"""Corpus cleaning pipeline (stages are added as operators land)."""
+"""Corpus cleaning pipeline: five stages over ``documents``, each written as Parquet and read again.
 
-STAGES = []
+1. ``toxicity``: classifier chains; documents judged toxic go.
+2. ``line_dedup``: lines that stand in an earlier document, or earlier in the same one, or are one edit
+   from such a line, are cut; documents of which nothing is left go.
+3. ``ngram_jaccard_join``: of each group of near-duplicates the document of smallest id stays.
+4. ``decontamination``: documents in which a benchmark item occurs go.
+5. ``bpe``: token ids, as little-endian unsigned 32-bit integers, with digests of ids and decoded text.
+
+Models and counts are fitted on each stage's own input. Rows with a null id pass the stages that
+compare documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dhwani.llm import bpe, decontam, linededup, setjoin, toxicity
+from dhwani.llm.common import table, written
+from dhwani.llm.queries import vocabulary_path
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = toxicity.score(docs, table(spark, sf_dir, "labels"), with_row=True)
+    return judged.where(~F.col("is_toxic")).select("row.*")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = linededup.deduplicated(docs)
+    left = left.where((F.col("n_kept") > 0) | (F.col("n_lines") == 0))
+    return left.select(*docs.columns).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return setjoin.keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coded = bpe.encoded(docs, vocabulary_path())
+    return coded.select(
+        "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard_join", jaccard_stage),
+    ("decontamination", benchmark_stage),
+    ("bpe", bpe_stage),
+]
+
+#: SQL cannot express the fitted models and the tokenizer; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
