@@ -11,6 +11,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from dhwani.functions import tables as T
 
@@ -100,7 +101,7 @@ _SPLIT = (("ড়", "ড়"), ("ঢ়", "ঢ়"), ("য়", "য়"))
 _JOINED_VOWELS = (("ো", "ো"), ("ৌ", "ৌ"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
