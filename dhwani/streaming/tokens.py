@@ -23,7 +23,7 @@ def tokens(stream: DataFrame) -> DataFrame:
 
 
 def answered(stream: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """A stream of words enriched from a static lexicon."""
+    """A stream of words enriched from a lexicon, which must be a stored table (not a text scan)."""
     return joined(stream, lexicon)
 
 
