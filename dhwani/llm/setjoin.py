@@ -11,7 +11,7 @@ weak keys), with some units to spare so that useless keys may be left out:
 * *hot keys* (shared by more than ``HOT`` sets not already in one component) are left out for sets
   that hold few enough of them. Sets with more (a passage of thousands of documents makes up much of
   them) are compared by their rarest elements instead, an exact way for the rest; what is still hot
-  there goes through in rounds of ``HUBS`` members. Nothing is capped.
+  there goes through in rounds, from the middle of a group of copies outwards. Nothing is capped.
 
 Pairs within a group are never listed: every key first links its members to its smallest member
 (a star), verified exactly; later rounds look only at members of one key that are still in different
@@ -39,8 +39,8 @@ from dhwani.llm.wordhash import U, mix, shingle_sets
 
 #: A key with more members than this that still spans components is hot.
 HOT = 32
-#: Members of a hot key that are compared with the others in one round.
-HUBS = 128
+#: Members of a hot key that are compared with all others in the first round.
+HUBS = 4
 #: Largest band: sets of up to 2**28 elements.
 BANDS = 26
 #: Charge of a one-element part, in rows.
@@ -256,12 +256,12 @@ def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _rarest(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(key, doc): the rarest elements of the wanted sets, as many as two linked ones must share one of.
+    """(key, doc, lone): the rarest elements of the wanted sets, as many as two linked ones must share one of.
 
     With all elements in one order (number of wanted sets that hold it, then hash), linked sets of
     sizes a and b share at least ``o = ceil(percent * (a + b) / (100 + percent))`` elements, so one of the
     first ``a - o + 1`` of the one is among the first ``b - o + 1`` of the other. A key is an element and
-    the size classes of both.
+    the size classes of both. ``lone`` counts a set's elements that no other wanted set holds.
     """
     low, first, last = size_classes(percent)
 
@@ -273,7 +273,7 @@ def _rarest(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, widt
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, doc, n, at = (batch.column(c).to_numpy() for c in ("key", "doc", "n", "at"))
+            key, doc, n, at, lone = (batch.column(c).to_numpy() for c in ("key", "doc", "n", "at", "lone"))
             c = np.searchsorted(low, n, "right") - 1
             many = last[c] - first[c] + 1
             row = np.repeat(np.arange(len(c)), many)
@@ -282,14 +282,15 @@ def _rarest(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, widt
             ok = at[row] <= n[row] - share + 1
             row, other = row[ok], other[ok]
             pair = (np.minimum(c[row], other) << 12) | np.maximum(c[row], other)
-            yield _arrow({"key": mix(key[row].view(np.uint64) + mix(pair.astype(np.uint64))).view(np.int64), "doc": doc[row]})
+            yield _arrow({"key": mix(key[row].view(np.uint64) + mix(pair.astype(np.uint64))).view(np.int64), "doc": doc[row], "lone": lone[row]})
 
     items = _thinned(docs, wanted, id_col, text_col).mapInArrow(run, "key long, doc long, n long").join(wanted, "doc", "left_semi")
     often = items.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
     place = F.row_number().over(Window.partitionBy("doc").orderBy("often", "key")).cast("long")
     loosest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rare = items.join(often, "key").withColumn("at", place).where(F.col("at") <= loosest).where("often > 1")
-    return rare.select("key", "doc", "n", "at").mapInArrow(expand, "key long, doc long")
+    lone = F.count_if(F.col("often") == 1).over(Window.partitionBy("doc"))
+    rare = items.join(often, "key").withColumn("lone", lone).withColumn("at", place).where(F.col("at") <= loosest).where("often > 1")
+    return rare.select("key", "doc", "n", "at", "lone").mapInArrow(expand, "key long, doc long, lone long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, stats: DataFrame) -> DataFrame:
@@ -376,20 +377,22 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, pe
     x = x.select("key", F.col("doc").alias("a"), F.col("component").alias("ca"), "hub")
     pairs = x.join(y, "key").where("a < b and ca <> cb and not a <=> hub").select("a", "b").distinct()
     hot = rare.where(F.col("c") > HOT)
-    todo = pairs
+    todo, hubs = pairs, HUBS
     while True:
         more = written(_verify(todo, docs, id_col, text_col, width, percent, stats), "links")
         if not more.isEmpty():
             links = written(links.union(more), "links")
             comp = written(components(links), "comp")
-        # the HUBS smallest members left in each hot key meet all others of other components, then leave
-        at = F.row_number().over(of_key.orderBy("doc"))
-        hot = written(placed(hot.select("key", "doc"), comp).withColumn("at", at), "hot")
+        # the members left in each hot key with the fewest elements of their own (the middle of a group of
+        # copies) meet all others of other components, then leave; more of them every round
+        at = F.row_number().over(of_key.orderBy("lone", "doc"))
+        hot = written(placed(hot.select("key", "doc", "lone"), comp).withColumn("at", at), "hot")
         if hot.isEmpty():
             break
-        hubs = hot.where(F.col("at") <= HUBS).select("key", F.col("doc").alias("a"), F.col("component").alias("ca"))
-        todo = hubs.join(hot, "key").where("a < doc and ca <> component").select("a", F.col("doc").alias("b")).distinct()
-        hot = hot.where(F.col("at") > HUBS)
+        centre = hot.where(F.col("at") <= hubs).select("key", F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("at").alias("first"))
+        todo = centre.join(hot, "key").where("first < at and ca <> component").select("a", F.col("doc").alias("b")).distinct()
+        hot = hot.where(F.col("at") > hubs)
+        hubs *= 4
     out = stats.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
