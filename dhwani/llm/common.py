@@ -19,12 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="dhwani-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="dhwani-"))
+        found = _OWN[0]
     return found
 
 

@@ -1,11 +1,6 @@
 import pytest
 
 
-@pytest.fixture(scope="session", autouse=True)
-def shared(spark, tmp_path_factory):
-    spark.conf.set("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
-
-
 @pytest.fixture
 def rows(spark):
     """A table from tuples; documents have an extra column that clashes with results' names."""

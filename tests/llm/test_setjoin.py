@@ -73,8 +73,10 @@ def test_edges(rows):
     assert [tuple(r) for r in setjoin.keep_one(wide).collect()] == [(1, "a b c d e", "x")]
 
 
-def test_plans_have_spare_units():
+def test_plans_cover_the_bound():
     p = setjoin.plan(80)
     for k in range(len(p["m"])):
-        h = setjoin.bound(int(p["hi"][k]), int(p["hi"][k]) if k % 2 == 0 else int(8 << (k // 2)) - 1, 80)
-        assert p["m"][k] + p["d"][k] >= h + 1 + p["spare"][k] - 0 + p["hot"][k] - 1 or p["m"][k] + p["d"][k] > h
+        m, d, hi = int(p["m"][k]), int(p["d"][k]), int(p["hi"][k])
+        other = hi if k % 2 == 0 else (8 << (k // 2)) - 1
+        assert 0 <= d <= m and min(p["spare"][k], p["hot"][k]) >= 0
+        assert m + d == setjoin.bound(hi, other, 80) + 1 + p["hot"][k] + p["spare"][k]
