@@ -72,6 +72,25 @@ def _bits(v: Column, k: int) -> Column:
     return F.array(*[F.shiftright(v, t).bitwiseAND(1) for t in range(2 * k + 1)])
 
 
+def _trimmed(pairs: DataFrame, k: int) -> DataFrame:
+    """Pairs with the common beginnings and ends of ``x`` and ``y`` cut, to a sixteenth of their length.
+
+    That leaves the distance as it is. With one edit allowed, pairs that keep more than the sixteenths an
+    edit can lie in are dropped.
+    """
+    size = F.char_length("x")
+    part = lambda n: F.floor(size * n / 16).cast("int")
+    head = F.coalesce(*[F.when(F.col("y").startswith(F.substring("x", F.lit(1), part(n))), part(n)) for n in range(16, 0, -1)], F.lit(0))
+    # each step is written, or its expressions would be copied into the next ones many times over
+    pairs = written(pairs.select("a", "b", "x", "y", F.floor(size / 16).alias("most"), head.alias("head")), "pairs")
+    pairs = pairs.withColumn("x", F.substring("x", F.col("head") + 1, size)).withColumn("y", F.substring("y", F.col("head") + 1, F.char_length("y")))
+    tail = F.coalesce(*[F.when(F.col("y").endswith(F.substring("x", size - part(n) + 1, part(n))), part(n)) for n in range(16, 0, -1)], F.lit(0))
+    pairs = written(pairs.select("a", "b", "x", "y", "most"), "pairs")
+    pairs = written(pairs.select("a", "b", "x", "y", (F.col("most") + F.floor(size / 16)).alias("most"), tail.alias("tail")), "pairs")
+    pairs = pairs.withColumn("x", F.substring("x", F.lit(1), size - F.col("tail"))).withColumn("y", F.substring("y", F.lit(1), F.char_length("y") - F.col("tail")))
+    return pairs.where(F.char_length("x") <= F.col("most") + 2) if k == 1 else pairs
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line) of all lines."""
     return docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -122,7 +141,7 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     a = few.where("role = 0").select("key", F.col("id").alias("a"), F.col("rest").alias("x"))
     b = few.select("key", F.col("id").alias("b"), F.col("rest").alias("y"), "role")
     pairs = a.join(b, "key").where((F.col("a") != F.col("b")) & ((F.col("role") == 1) | (F.col("a") < F.col("b"))))
-    linked = pairs.where(banded_distance(F.col("x"), F.col("y"), EDITS) <= EDITS).select(F.greatest("a", "b").alias("id"))
+    linked = _trimmed(pairs, EDITS).where(banded_distance(F.col("x"), F.col("y"), EDITS) <= EDITS).select(F.greatest("a", "b").alias("id"))
 
     many = met.where(F.col("c") > HOT)
     places = F.sequence(F.lit(1), F.greatest(F.char_length("rest"), F.lit(1)))
