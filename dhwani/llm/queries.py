@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_prefix_tree": chat.ORACLE, "op7_url_range_join": urlfilter.ORACLE, "op9_line_dedup": linededup.ORACLE, "op10_license_scan": licenses.oracle_sql()}
+    return {"op5_chat_prefix_tree": chat.ORACLE, "op6_ngram_jaccard_join": setjoin.ORACLE, "op7_url_range_join": urlfilter.ORACLE, "op9_line_dedup": linededup.ORACLE, "op10_license_scan": licenses.oracle_sql()}
