@@ -8,8 +8,8 @@ threshold-plus-one segments (two), which are indexed under its length; it probes
 and with the prefix and suffix that a line one shorter would have. Two lines within one edit share a key.
 Pairs that meet are verified by banded bit-parallel edit distance on what the shared segment leaves.
 
-Keys of more than ``HOT`` lines are not paired: their members are grouped by what is left after deleting
-each character of the unshared part. Members of a group of one deleted place are within one substitution
+Keys of more than ``HOT`` lines are not paired: their members are grouped by all but one sixteenth of the
+unshared part, and within such a group by what is left after deleting each character of that sixteenth. Members of a group of one deleted place are within one substitution
 of each other, and a member that equals another's deletion is within one insertion of it; both are exact,
 linear in the key's members, and groups are bounded by the alphabet and the line.
 
@@ -143,7 +143,14 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     pairs = a.join(b, "key").where((F.col("a") != F.col("b")) & ((F.col("role") == 1) | (F.col("a") < F.col("b"))))
     linked = _trimmed(pairs, EDITS).where(banded_distance(F.col("x"), F.col("y"), EDITS) <= EDITS).select(F.greatest("a", "b").alias("id"))
 
-    many = met.where(F.col("c") > HOT)
+    # members of a hot key that agree in all but one sixteenth of what is left
+    base = F.char_length("rest") - F.col("role")
+    edge = lambda n: F.floor(base * n / 16).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda n: F.struct(
+        F.xxhash64("key", n, F.substring("rest", F.lit(1), edge(n)), F.substring("rest", edge(n + 1) + F.col("role") + 1, F.char_length("rest"))).alias("key"),
+        F.substring("rest", edge(n) + 1, edge(n + 1) - edge(n) + F.col("role")).alias("rest")))
+    many = met.where(F.col("c") > HOT).select("id", "role", F.explode(cells).alias("cell")).select("id", "role", "cell.*")
+    many = many.withColumn("c", F.count(F.lit(1)).over(of_key)).withColumn("c0", F.count_if(F.col("role") == 0).over(of_key)).where("c > 1 and c0 > 0")
     places = F.sequence(F.lit(1), F.greatest(F.char_length("rest"), F.lit(1)))
     without = lambda p: F.xxhash64(F.concat(F.substring(F.col("rest"), F.lit(1), p - 1), F.substring(F.col("rest"), p + 1, F.char_length("rest"))))
     swaps = many.where("role = 0").select("key", "id", F.explode(F.transform(places, lambda p: F.struct(p.alias("p"), without(p).alias("left")))).alias("v")).select("key", "id", "v.*")
