@@ -144,6 +144,7 @@ class Index:
             k[k == len(self.code)] = 0
             good = self.code[k] == code[at]
             at, k = at[good], k[good]
+        if len(at):
             n = self.first[k + 1] - self.first[k]
             pos = np.repeat(at, n)
             entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())

@@ -55,3 +55,9 @@ def test_edges(rows, monkeypatch):
     assert decontam.leaks(docs, rows([], "item_id long, text string")).count() == 0
     wide = rows([(1, "the quick brown fox jumps", "x"), (2, "clean", "y")], "doc_id long, text string, item_id string")
     assert [tuple(x) for x in decontam.without_leaks(wide, bench).collect()] == [(2, "clean", "y")]
+
+
+def test_no_true_hit_in_a_chunk():
+    index = decontam.Index([(1, b"the quick brown fox jumps")], 0.05)
+    index.table[:] = True  # every place passes the table, none is in the index
+    assert index.find([b"0123456789 0123456789", b"", b"x"]) == []
