@@ -189,10 +189,9 @@ def search(table: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95
 
     total = points.count()
     sample = points.orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks()
+    if not len(sample):
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = np.asarray(sample.flatten(), np.float64).reshape(len(sample), -1)
-    out = "query_id long, rank int, vec_id long, score double"
-    if not len(x):
-        return table.sparkSession.createDataFrame([], out)
     router, parts, probes = learn(x, total, k, recall)
     held = table.sparkSession.sparkContext.broadcast(router.weights)
 
