@@ -1,14 +1,16 @@
 """Cross-entropy difference scoring with matched word bigram models.
 
-Method. A target model and a background model share one vocabulary: the ``size`` most frequent words of
-all documents, and ``UNKNOWN`` classes of other words by their length in bytes. Both are interpolated
-bigram models with the same constants, counted over all documents (background) and over all documents
-of the target (target). A document's score is the mean over its tokens of the loss under the target
-model minus the loss under the background model: low scores are most like the target.
-
-The models are dense tables of ``(size + UNKNOWN + 1)^2`` losses, whatever the size of the corpus; that
-bounds what is broadcast (about 18 MB a model at the default). Counting passes send every task's
-distinct words and pairs, pre-aggregated per task, through one shuffle.
+Method. A target model and a background model share one vocabulary: all words of all documents, or the
+``size`` most frequent ones if a size is given (other words then fall into ``UNKNOWN`` classes by their
+length in bytes). Both are interpolated bigram models with the same constants, counted over all documents
+(background) and over all documents of the target (target). A document's score is the mean over its
+tokens of the loss under the target model minus the loss under the background model: low scores are most
+like the target.
+
+No table of the model is broadcast or collected. Documents are dealt into chunks of about ``CHUNK`` bytes
+by their id. A chunk sends the counts of its distinct words and pairs, by 64-bit hash, to buckets of the
+hash; a bucket adds them up and sends each chunk the sums of the words and pairs it asked for, in the
+chunk's order. A word or pair makes one entry a chunk, however frequent it is, so no key is hot.
 
 Defined results. Null text, or one without words: ``n_tokens`` 0 and null scores. Ties for the last
 vocabulary places go to the smaller hash. Repeated rows count and score each. Rows with a null id are
@@ -18,6 +20,7 @@ Empty table: empty result.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dhwani.llm.common import text_chunks
-from dhwani.llm.wordhash import words
+from dhwani.llm.common import CHUNK_BYTES, text_chunks, written
+from dhwani.llm.wordhash import U, mix, words
 
 UNKNOWN = 32
 #: Weight of the unigram model: pseudo-counts given to every history.
 PRIOR = 20.0
-#: Words or pairs that a counting task holds before it folds them.
+#: Words that a counting task holds before it folds them.
 FOLD = 4_000_000
+#: Text of a chunk in bytes, and the least number of chunks and buckets.
+CHUNK = 3 << 20
+LEAST = 24
+_CLASS = mix(np.arange(1, UNKNOWN + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
+_EDGE = U(0x5851F42D4C957F2D)
+_PAIR = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 
 
 def _fold(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -70,79 +79,166 @@ def _counted(docs: DataFrame, of_chunk) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def tokens(texts: list[bytes], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(vocabulary place of every word, number of words of every text); unknown words by length."""
-    h, size, n = words(texts)
-    at = np.searchsorted(vocabulary, h)
-    at[at == len(vocabulary)] = 0
-    known = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
-    return np.where(known, at, len(vocabulary) + np.minimum(size, UNKNOWN) - 1), n
-
-
-def pairs(texts: list[bytes], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pair code of every word with the one before it, number of words); a text starts after an edge."""
-    t, n = tokens(texts, vocabulary)
-    edge = len(vocabulary) + UNKNOWN
-    before = np.empty_like(t)
-    before[1:] = t[:-1]
-    first = (np.cumsum(n) - n)[n > 0]
-    before[first] = edge
-    return before * (edge + 1) + t, n
-
-
-def losses(codes: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
-    """Dense -log P(word | word before) of an interpolated bigram model; rows by history."""
-    c = np.zeros(width * width)
-    c[codes] = counts
-    c = c.reshape(width, width)
-    one = c.sum(0) + 1.0
-    one[width - 1] = 0.0  # the edge is never a word
-    one /= one.sum()
-    out = np.empty((width, width), np.float32)
-    with np.errstate(divide="ignore"):
-        for a in range(0, width, 256):  # in blocks: the driver holds one double table at a time
-            block = c[a : a + 256]
-            out[a : a + 256] = -np.log((block + PRIOR * one) / (block.sum(1, keepdims=True) + PRIOR))
-    out[:, width - 1] = 0.0
-    return out
-
-
-def models(docs: DataFrame, target: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vocabulary, target losses, background losses) from tables (doc_id, text)."""
-    top = _counted(docs, lambda texts: words(texts)[0]).orderBy(F.desc("n"), "key").limit(size).toArrow()
-    vocabulary = np.sort(top.column("key").to_numpy().view(np.uint64))
-    width = len(vocabulary) + UNKNOWN + 1
-    tables = []
-    for part in (target, docs):
-        seen = _counted(part, lambda texts: pairs(texts, vocabulary)[0].view(np.uint64)).toArrow()
-        tables.append(losses(seen.column("key").to_numpy(), seen.column("n").to_numpy(), width))
-        del seen
-    return vocabulary, tables[0], tables[1]
-
-
-def score(docs: DataFrame, target_ids: DataFrame, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokens(texts: list[bytes], vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, number of words of every text); words outside a vocabulary by length."""
+    hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    held = np.cumsum([len(t) for t in texts]) // CHUNK_BYTES  # in runs: hashing takes many times a run's bytes
+    cuts = [*np.flatnonzero(np.diff(held, prepend=-1)).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        h, size, n = words(texts[a:b])
+        if vocabulary is not None:
+            h = np.where(np.isin(h, vocabulary), h, _CLASS[np.minimum(size, UNKNOWN) - 1])
+        hashes.append(h)
+        counts.append(n)
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def pairs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word before every word, hash of the pair); a text starts after an edge."""
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[(np.cumsum(n) - n)[n > 0]] = _EDGE
+    return before, mix(before * _PAIR[0] + h * _PAIR[1])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes: small ones leave planes of zeros, which the shuffle compresses."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _texts(table: pa.Table) -> list[bytes]:
+    return [x or b"" for x in table.column("text").cast(pa.large_binary()).to_pylist()]
+
+
+def _distinct(texts: list[bytes], vocabulary: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(words per text, distinct words, each word's place, place of the word before or -1, distinct pairs, each pair's place)."""
+    h, n = tokens(texts, vocabulary)
+    hashed = pairs(h, n)[1]
+    w, at = np.unique(h, return_inverse=True)
+    del h
+    at = at.astype(np.int32)
+    before = np.empty_like(at)
+    before[1:] = at[:-1]
+    before[(np.cumsum(n) - n)[n > 0]] = -1
+    p, pair_at = np.unique(hashed, return_inverse=True)
+    return n, w, at, before, p, pair_at.astype(np.int32)
+
+
+def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
+    """First place of every bucket in ascending keys, and their number: buckets follow the keys' order."""
+    return np.searchsorted(((keys >> U(32)) * U(n)) >> U(32), np.arange(n + 1))
+
+
+_SENT = "chunk int, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
+_SUMS = "chunk int, bucket int, word_counts binary, pair_counts binary, totals array<long>"
+
+
+def _sent(n_buckets: int, vocabulary: np.ndarray | None):
+    def run(docs: pa.Table, good: pa.Table) -> pa.Table:
+        """A chunk's distinct words and pairs with their counts in all its documents and in the target's."""
+        out: dict[str, list] = {c.split()[0]: [] for c in _SENT.split(", ")}
+        if docs.num_rows:
+            n, w, at, before, p, pair_at = _distinct(_texts(docs), vocabulary)
+            ids = docs.column("doc_id").combine_chunks()
+            inside = np.zeros(len(n), bool)
+            if good.num_rows:
+                inside = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), good.column("doc_id").to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+            mine = np.repeat(inside, n)
+            count = lambda x, size: np.bincount(x[x >= 0], minlength=size)
+            of_words = [count(at, len(w)), count(at[mine], len(w)), count(before, len(w)), count(before[mine], len(w))]
+            of_pairs = [count(pair_at, len(p)), count(pair_at[mine], len(p))]
+            cut_w, cut_p = _buckets(w, n_buckets), _buckets(p, n_buckets)
+            for b in range(n_buckets):
+                i, j, k, m = cut_w[b], cut_w[b + 1], cut_p[b], cut_p[b + 1]
+                if j > i or m > k:
+                    out["bucket"].append(b)
+                    out["words"].append(_packed(np.diff(w[i:j], prepend=U(0))))
+                    out["word_counts"].append(_packed(np.concatenate([c[i:j] for c in of_words])))
+                    out["pairs"].append(_packed(np.diff(p[k:m], prepend=U(0))))
+                    out["pair_counts"].append(_packed(np.concatenate([c[k:m] for c in of_pairs])))
+            out["chunk"] = [docs.column("chunk")[0].as_py()] * len(out["bucket"])
+        kinds = {"chunk": pa.int32(), "bucket": pa.int32()}
+        return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()})
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """A bucket's sums for every chunk, in the order in which the chunk sent its keys.
+
+    The first row holds the number of distinct words and the sums of all counts.
+    """
+    out = {"chunk": table.column("chunk"), "bucket": table.column("bucket")}
+    for name, kinds in (("word", 4), ("pair", 2)):
+        keys = [np.cumsum(_unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column(f"{name}s")]
+        counts = [_unpacked(x.as_py()).reshape(kinds, -1) for x in table.column(f"{name}_counts")]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.zeros((kinds, len(distinct)), np.int64)
+        start = 0
+        for c in counts:  # a chunk's keys are distinct
+            sums[:, at[start : start + c.shape[1]]] += c
+            start += c.shape[1]
+        if name == "word":
+            out["totals"] = pa.array([[len(distinct), *sums.sum(1).tolist()]] + [None] * (len(counts) - 1), pa.list_(pa.int64()))
+        start, back = 0, []
+        del keys, distinct
+        for c in counts:
+            back.append(_packed(sums[:, at[start : start + c.shape[1]]].ravel()))
+            start += c.shape[1]
+        out[f"{name}_counts"] = pa.array(back, pa.binary())
+    pa.default_memory_pool().release_unused()
+    return pa.table({c.split()[0]: out[c.split()[0]] for c in _SUMS.split(", ")})
+
+
+def _scored(vocabulary: np.ndarray | None, types: int, n_tokens: tuple[int, int], n_texts: tuple[int, int]):
+    def run(docs: pa.Table, sums: pa.Table) -> pa.Table:
+        n, w, at, before, p, pair_at = _distinct(_texts(docs), vocabulary)
+        rows = sorted(zip(*(sums.column(c).to_pylist() for c in ("bucket", "word_counts", "pair_counts")), strict=True))
+        joined = lambda i, kinds: np.concatenate([np.zeros((kinds, 0), np.int64), *(_unpacked(r[i]).reshape(kinds, -1) for r in rows)], 1)
+        of_words, of_pairs = joined(1, 4), joined(2, 2)
+        owner = np.repeat(np.arange(len(n)), n)
+        means = []
+        for i in (1, 0):  # the target, the background
+            one = (of_words[i] + 1.0) / (n_tokens[i] + types)
+            history = np.append(of_words[2 + i], n_texts[i])[before]  # the last one is the edge's
+            loss = -np.log((of_pairs[i][pair_at] + PRIOR * one[at]) / (history + PRIOR))
+            with np.errstate(invalid="ignore"):
+                means.append(np.bincount(owner, loss, len(n)) / n)
+        cols = {"doc_id": docs.column("doc_id").combine_chunks(), "n_tokens": pa.array(n.astype(np.int64))}
+        for name, x in (("target_loss", means[0]), ("background_loss", means[1]), ("loss_difference", means[0] - means[1])):
+            cols[name] = pa.array(x, pa.float64(), mask=n == 0)
+        return pa.table(cols)
+
+    return run
+
+
+def score(docs: DataFrame, target_ids: DataFrame, size: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, loss_difference), losses in nats per token.
 
     ``target_ids`` holds the ids (doc_id) of the target's documents.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    target = rows.join(target_ids.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
-    vocabulary, of_target, of_background = models(rows, target, size)
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, of_target.ravel(), of_background.ravel()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, a, b = held.value
-        for ids, texts in text_chunks(batches, "doc_id", "text"):
-            code, n = pairs(texts, vocabulary)
-            owner = np.repeat(np.arange(len(n)), n)
-            means = []
-            for table in (a, b):
-                with np.errstate(invalid="ignore"):
-                    means.append(np.bincount(owner, table[code].astype(np.float64), len(n)) / n)
-            none = n == 0
-            cols = {"doc_id": pa.array(ids, pa.int64()), "n_tokens": n.astype(np.int64)}
-            for name, x in (("target_loss", means[0]), ("background_loss", means[1]), ("loss_difference", means[0] - means[1])):
-                cols[name] = pa.array(x, pa.float64(), mask=none)
-            yield pa.RecordBatch.from_pydict(cols)
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, loss_difference double")
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_chunks, n_buckets = max(LEAST, -(-held // CHUNK)), max(LEAST, -(-held // (2 * CHUNK)))
+    vocabulary = None
+    if size is not None:
+        top = _counted(rows, lambda texts: words(texts)[0]).orderBy(F.desc("n"), "key").limit(size).toArrow()
+        vocabulary = np.sort(top.column("key").to_numpy().view(np.uint64))
+
+    chunk = lambda x: F.pmod(F.xxhash64(x), F.lit(n_chunks)).cast("int").alias("chunk")
+    rows = rows.select(chunk(F.coalesce("doc_id", F.xxhash64("text"))), "doc_id", "text").groupBy("chunk")
+    good = target_ids.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().select(chunk(F.col("doc_id")), "doc_id").groupBy("chunk")
+    sent = rows.cogroup(good).applyInArrow(_sent(n_buckets, vocabulary), _SENT)
+    sums = written(sent.groupBy("bucket").applyInArrow(_summed, _SUMS), "sums")
+    totals = sums.where("totals is not null").agg(*[F.sum(F.col("totals")[i]) for i in range(5)]).first()
+    types, *n = [x or 0 for x in totals]
+    types = (types if vocabulary is None else len(vocabulary)) + UNKNOWN
+    texts = (n[0] - n[2], n[1] - n[3])  # every word but a text's last is the history of one
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    scored = rows.cogroup(sums.select("chunk", "bucket", "word_counts", "pair_counts").groupBy("chunk"))
+    return scored.applyInArrow(_scored(vocabulary, types, (n[0], n[1]), texts), "doc_id long, n_tokens long, target_loss double, background_loss double, loss_difference double")

@@ -49,6 +49,18 @@ def test_losses(rows):
     assert lmscore.score(rows(docs), rows([], "doc_id long")).count() == len(docs)
 
 
+def test_losses_of_all_words(rows):
+    r = random.Random(8)
+    docs = [(i, " ".join(f"w{int(6000 * r.random() ** 2)}" for _ in range(150))) for i in range(80)] + [(None, "w1 w2 other"), (3, "twice w5 w5")]
+    good = set(range(25))
+    assert len({w for _, t in docs for w in t.split()}) > 3000
+    # rows of one id are told apart by place in the plain model
+    target, background = plain_losses([((n, i), t) for n, (i, t) in enumerate(docs)], {(n, i) for n, (i, _) in enumerate(docs) if i in good}, 10**9)
+    want = sorted((i or -1, target[n, i], background[n, i]) for n, (i, _) in enumerate(docs))
+    got = sorted((x.doc_id or -1, x.target_loss, x.background_loss) for x in lmscore.score(rows(docs), rows([(i,) for i in good], "doc_id long")).collect())
+    assert np.allclose(got, want, atol=1e-9)
+
+
 def test_toxicity_held_out(rows):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7)))
