@@ -27,7 +27,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = linededup.deduplicated(docs)
+    left = linededup.deduplicated(docs, shortest=1)
     left = left.where((F.col("n_kept") > 0) | (F.col("n_lines") == 0))
     return left.select(*docs.columns).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 

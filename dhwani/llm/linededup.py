@@ -1,7 +1,7 @@
 """Line deduplication by a segment-partition edit join (DataFrame operations only).
 
 A line goes when an equal line, or one within one edit, stands earlier (by document id, then place).
-Lines shorter than ``min_chars`` code points always stay.
+Lines shorter than ``min_chars`` code points stay, or with ``shortest`` go where an equal line stands earlier.
 
 Method. Equal lines first become one, by a 128-bit hash, pre-aggregated. A distinct line is cut into
 threshold-plus-one segments (two), which are indexed under its length; it probes with its own segments
@@ -107,24 +107,24 @@ def _left_over(line: Column, seg: Column, role: Column) -> Column:
     return F.when(seg == 1, F.substring(line, half + 1, size)).otherwise(F.substring(line, F.lit(1), size - ((size - role) - half)))
 
 
-def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, kept, n_near): places of a document's lines that stay, of those at least ``min_chars`` long.
+def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shortest: int | None = None) -> DataFrame:
+    """(doc_id, kept, n_near): places of a document's lines that stay, of those at least ``shortest`` long.
 
-    ``n_near`` counts the document's first occurrences that go because of an earlier line one edit away.
+    Lines under ``min_chars`` go for equal lines only; by default none as short is looked at. ``n_near`` counts the document's first occurrences that go because of an earlier line one edit away.
     """
-    lines = _lines(docs.select("doc_id", "text")).where(F.char_length("line") >= min_chars)
+    lines = _lines(docs.select("doc_id", "text")).where(F.char_length("line") >= (min_chars if shortest is None else shortest))
     line, size = F.col("line"), F.char_length("line")
     half, half1 = F.floor(size / 2).cast("int"), F.floor((size - 1) / 2).cast("int")
     own = [_key(1, size, F.substring(line, F.lit(1), half)), _key(2, size, F.substring(line, half + 1, size))]
     shorter = [_key(1, size - 1, F.substring(line, F.lit(1), half1)), _key(2, size - 1, F.substring(line, half1 + 2, size))]
     reps = lines.select(
         F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"), F.struct("doc_id", "pos").alias("id"),
-        *[k.alias(f"k{n}") for n, k in enumerate(own + shorter)])
+        *[F.when(size >= min_chars, k).alias(f"k{n}") for n, k in enumerate(own + shorter)])
     reps = written(reps.groupBy("h1", "h2").agg(F.min("id").alias("id"), *[F.first(f"k{n}").alias(f"k{n}") for n in range(4)]).drop("h1", "h2"), "lines")
 
     probes = F.explode(F.array(*[F.struct(F.col(f"k{n}").alias("key"), F.lit(n // 2).alias("role"), F.lit(n % 2 + 1).alias("seg")) for n in range(4)]))
     of_key = Window.partitionBy("key")
-    met = reps.select("id", probes.alias("p")).select("id", "p.*")
+    met = reps.select("id", probes.alias("p")).select("id", "p.*").where("key is not null")
     met = met.withColumn("c", F.count(F.lit(1)).over(of_key)).withColumn("c0", F.count_if(F.col("role") == 0).over(of_key))
     met = written(met.where("c > 1 and c0 > 0").drop("c0"), "met")
 
@@ -167,18 +167,20 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         F.collect_list(F.when(F.col("near").isNull(), F.col("id.pos"))).alias("kept"), F.count_if(F.col("near").isNotNull()).alias("n_near"))
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", shortest: int | None = None) -> DataFrame:
     """The documents with lines that stand earlier taken out of ``text_col``.
 
-    Adds ``n_lines``, ``n_kept`` and ``n_near``; all other columns stay.
+    Lines of ``shortest`` to ``min_chars`` code points go for equal lines only; by default lines under
+    ``min_chars`` stay. Adds ``n_lines``, ``n_kept`` and ``n_near``; all other columns stay.
     """
-    kept = kept_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), min_chars)
+    least = min_chars if shortest is None else shortest
+    kept = kept_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), min_chars, least)
     kept = kept.select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"), F.col("n_near").alias("__near"))
     own = docs.columns
     rows = docs.join(kept, F.col(id_col).cast("long") == F.col("__id"), "left")
     parts = F.split(F.col(text_col).cast("string"), "\n")
     places = F.coalesce("__kept", F.array().cast("array<int>"))
-    stay = F.when(F.col(id_col).isNull(), parts).otherwise(F.filter(parts, lambda x, i: (F.char_length(x) < min_chars) | F.array_contains(places, i)))
+    stay = F.when(F.col(id_col).isNull(), parts).otherwise(F.filter(parts, lambda x, i: (F.char_length(x) < least) | F.array_contains(places, i)))
     rows = rows.withColumn("__stay", stay)
     return rows.select(
         *[F.array_join("__stay", "\n").alias(c) if c == text_col else F.col(c) for c in own],

@@ -79,3 +79,13 @@ def test_edges(rows):
     assert got.columns == ["doc_id", "text", "kept", "n_lines", "n_kept", "n_near"]
     assert sorted((r.doc_id or 0, r.text, r.kept, r.n_kept) for r in got.collect()) == [(0, line, "y", 1), (1, line, "x", 1), (1, line, "x", 1), (2, "", "z", 0)]
     assert linededup.deduplicated(rows([])).count() == 0
+
+
+def test_short_lines_go_for_equal_ones(spark, rows):
+    import corpus_pipeline
+
+    long = "a line that is long enough"
+    docs = [(1, "Of, edti oner.\n\nOf, edti oner."), (2, f"Of, edti oner.\nOf, edti onez.\n{long}"), (3, f"\n{long}s\nx")]
+    table = rows([(d, t, len(t)) for d, t in docs], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_stage(spark, table, "").collect()}
+    assert got == {1: ("Of, edti oner.\n", 15), 2: (f"Of, edti onez.\n{long}", 41), 3: ("\nx", 2)}
