@@ -13,9 +13,11 @@ LEXICON = [
     "# word\tspoken\tregister", "রেদ\tr e d\ttadbhava", " রোদ\tr  O  d \t", "গোর\tg O r O", "  # skipped\tx", "লারগে\tl a r g e\tdeshi",
     "লারগে\tl  a r g E\tloanword", "alone", "", "নেহ\tn e h\t ", "সমালল\ts o m a l\ttatsama", "রিনগ\t\tdeshi", "বলুে\tb o l u\tdeshi", "বলুে\tb O l u",
 ]
-# The self-test's words and tokens (one of its expectations is stale and is stated as the rules give it).
+# The self-test's 11 words and tokens (one of its expectations, তোমরা, is stale and is stated as the rules give it), then others.
 GOLDENS = [
-    ("নাম", "n a m"), ("কম", "k o m"), ("বাংলা", "b a ng l a"), ("পাঁচ", "p a~ ch"), ("তোমরা", "t O m r a"), ("পড়া", "p o r a"), ("বিশ্ব", "b i sh sh O"),
+    ("আমরা", "a m r a"), ("তোমরা", "t O m r a"), ("সকাল", "sh o k a l"), ("করছি", "k o r chh i"), ("কম", "k o m"), ("বাংলা", "b a ng l a"),
+    ("জ্ঞান", "g y a n"), ("বিজ্ঞান", "b i g g y a n"), ("সময়", "sh o m o y"), ("বিষয়", "b i sh o y"), ("হয়", "h o y"),
+    ("নাম", "n a m"), ("পাঁচ", "p a~ ch"), ("পড়া", "p o r a"), ("বিশ্ব", "b i sh sh O"),
 ]
 
 

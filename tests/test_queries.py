@@ -36,3 +36,8 @@ def test_query(spark, duck, name):
 
 def test_goldens(spark):
     assert all(r["pass"] for r in catalog.QUERIES["goldens"](spark, SF).collect())
+
+
+def test_goldens_hold_the_self_test(spark):
+    found = {r["word"] for r in catalog.QUERIES["goldens"](spark, SF).collect()}
+    assert {"আমরা", "তোমরা", "সকাল", "করছি", "কম", "বাংলা", "জ্ঞান", "বিজ্ঞান", "সময়", "বিষয়", "হয়"} <= found
