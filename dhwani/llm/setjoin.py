@@ -332,7 +332,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id) for every document; see the module's text."""
+    """Rows (doc_id, n_shingles, component_id) for every document; see the module's text.
+
+    The signatures are complete from 80 percent on; less raises ValueError.
+    """
+    if percent < 80:
+        raise ValueError(f"percent must be 80 or more: {percent}")
     conf, batch = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(batch)
     conf.set(batch, "512")  # rows hold whole texts or two whole sets

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from dhwani.llm import setjoin
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,3 +82,8 @@ def test_plans_cover_the_bound():
         other = hi if k % 2 == 0 else (8 << (k // 2)) - 1
         assert 0 <= d <= m and min(p["spare"][k], p["hot"][k]) >= 0
         assert m + d == setjoin.bound(hi, other, 80) + 1 + p["hot"][k] + p["spare"][k]
+
+
+def test_low_thresholds_raise(rows):
+    with pytest.raises(ValueError):
+        setjoin.near_duplicates(rows([(1, "a b c d e")]), percent=75)
