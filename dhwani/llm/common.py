@@ -23,26 +23,72 @@ _OWN: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder (tests); any other master raises, as its
+    executors would not share one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="dhwani-"))
-        found = _OWN[0]
-    return found
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="dhwani-"))
+    return _OWN[0]
+
+
+class Scratch:
+    """The intermediate tables of one run, in the shared folder; they cut lineage and outlive executors."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[tuple[str, str]] = []
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        """The table, written and read back.
+
+        Collecting garbage first lets Spark's cleaner drop the shuffle files of steps that are done.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        path = f"{scratch_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append((tag, path))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tags: str) -> None:
+        """Deletes the tables of these tags, which nothing reads any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for tag, path in self.paths:
+            if tag in tags:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+        self.paths = [x for x in self.paths if x[0] not in tags]
+
+    def drop_all_but(self, *tags: str) -> None:
+        self.drop(*{t for t, _ in self.paths} - set(tags))
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors.
+    """The table, written to the shared folder and read back; it stays there."""
+    return Scratch(df.sparkSession).write(df, tag)
 
-    Collecting garbage first lets Spark's cleaner drop the shuffle files of steps that are done.
-    """
-    spark = df.sparkSession
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def bound_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Bounds the Arrow batches sent to Python by bytes, for good, as rows hold whole texts or sets."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name, "2147483647")).rstrip("bB")) > limit:
+        spark.conf.set(name, str(limit))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, prolonged until no column of ``df`` has it in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_chunks(
@@ -67,13 +113,14 @@ def text_chunks(
             yield run_ids, run
 
 
-def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
+def components(edges: DataFrame, disk: Scratch | None = None) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (node, component) with the smallest node.
 
     Alternating large-star and small-star steps, each cut by a table in the shared folder; nothing
     is collected, and an edge list that is already a forest of stars is settled. Nodes
     that touch no edge do not appear. Loops are ignored.
     """
+    disk = disk or Scratch(edges.sparkSession)
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.select("a", "b")
@@ -91,13 +138,13 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
 
     # every stored edge points from the larger node to the smaller
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = written(now, tag)
+    now = disk.write(now, "edges")
     while True:
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(
             now.select("b", F.lit(0), F.lit(1)))
         ends = ends.groupBy("node").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
         if ends.where("low > 1 or (low = 1 and high = 1)").isEmpty():  # a forest of stars
             break
-        now = written(star(star(now, True), False), tag)
+        now = disk.write(star(star(now, True), False), "edges")
     top = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return top.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -3,24 +3,25 @@
 Method. Sets that link have a symmetric difference of at most ``H`` (from the threshold and the
 sizes). For every size band the hash universe is cut into ``m`` segments; a set's part in a segment
 is one *unit* of evidence, and in the first ``d`` segments, where one-deletion neighbourhoods are
-indexed too, it is two. With ``m + d > H`` two linked sets share a key in some segment. ``(m, d)`` is
-chosen per band by expected cost (rows written plus a charge for parts of one element, which are
-weak keys), with some units to spare so that useless keys may be left out:
-
-* *empty parts* are keys only for sets that have more of them than the spare units allow;
-* *hot keys* (shared by more than ``HOT`` sets not already in one component) are left out for sets
-  that hold few enough of them. Sets with more (a passage of thousands of documents makes up much of
-  them) are compared by their rarest elements instead, an exact way for the rest; what is still hot
-  there goes through in rounds, from the middle of a group of copies outwards. Nothing is capped.
-
-Pairs within a group are never listed: every key first links its members to its smallest member
-(a star), verified exactly; later rounds look only at members of one key that are still in different
-components. Candidates are verified on whole sets.
+indexed too, it is two. ``(m, d)`` is chosen per band by expected cost (rows written plus a charge for
+parts of one element, which are weak keys) so that ``m + d`` exceeds ``H`` by some units to spare: two
+linked sets then share not one key but at least ``1 + spare`` of them, beside empty parts. *Empty parts*
+are keys only for sets that have more of them than the plan allows for.
+
+Equal sets are one set, named by its digest. Keys of at most ``HOT`` sets are paired and the shared
+keys of a pair counted; pairs below ``1 + spare`` go, less what the poorer side of the two has in hot keys.
+Sets that hold more hot keys than they can spare (most keys of a large group of copies, or of a long
+passage, are hot) are compared with each other in two steps. Each first meets the set in the middle of
+its hot keys, the one that shares most of them with most: that joins a group of copies in rows linear in its size. Then
+sets of different components meet by their rarest elements (a prefix filter by size class), which is
+exact; the members outside a group have too many elements of their own to meet any of it. No cap drops a
+link, and no group is listed as pairs. Candidates are verified on whole sets.
 
 Defined results. Null or blank text: ``n_shingles`` 0, linked with nothing, own component. Repeated
 rows and equal sets link (similarity 1). Fewer words than ``width``: one shingle of the whole
-sequence. Rows with a null id take no part and are dropped. Extra columns are ignored. Empty table:
-empty result.
+sequence. An id with several different texts has the links of all of them. Rows with a null id take no
+part and are dropped. Extra columns are ignored. Empty table: empty result. Shingles and sets go by 64-bit hashes;
+with ``N`` different sets, the chance that any two get one name is about ``N * N / 2**65``.
 """
 
 from __future__ import annotations
@@ -30,17 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dhwani.llm.common import components, text_chunks, written
+from dhwani.llm.common import Scratch, bound_batches, components, free_name, text_chunks
 from dhwani.llm.wordhash import U, mix, shingle_sets
 
-#: A key with more members than this that still spans components is hot.
-HOT = 32
-#: Members of a hot key that are compared with all others in the first round.
-HUBS = 4
+#: A key of more sets than this is hot.
+HOT = 16
 #: Largest band: sets of up to 2**28 elements.
 BANDS = 26
 #: Charge of a one-element part, in rows.
@@ -99,7 +98,7 @@ def plan(percent: int) -> dict[str, np.ndarray]:
 def keys(d: np.ndarray, h: np.ndarray, n_docs: int, percent: int, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Signature keys of sets given as (set index, ascending hash): (set index, key).
 
-    The low six bits of a key are its space, the next one tells keys of two-unit segments.
+    The low six bits of a key are its space.
     """
     size = np.bincount(d, minlength=n_docs)
     first = np.cumsum(size) - size
@@ -134,7 +133,7 @@ def keys(d: np.ndarray, h: np.ndarray, n_docs: int, percent: int, p: dict[str, n
     def key(owner: np.ndarray, segment: np.ndarray, content: np.ndarray) -> np.ndarray:
         sp = space[owner].astype(np.uint64)
         k = mix(content + segment.astype(np.uint64) * U(0x9E3779B97F4A7C15) + sp * U(0xC2B2AE3D27D4EB4F))
-        return (k & ~U(127)) | ((segment < two[owner]).astype(np.uint64) << U(6)) | sp
+        return (k & ~U(63)) | sp
 
     out_e, out_k = [ge], [key(ge, gs, total)]
     # one-deletion neighbourhoods of the two-unit segments
@@ -153,42 +152,41 @@ def keys(d: np.ndarray, h: np.ndarray, n_docs: int, percent: int, p: dict[str, n
         mine = ge == o
         empty = np.setdiff1d(np.arange(m[o]), gs[mine], assume_unique=True)
         empty = np.append(empty, gs[mine & (gn == 1) & (gs < two[o])])
-        out_e.append(np.full(len(empty), o))
-        out_k.append(key(out_e[-1], empty, np.zeros(len(empty), np.uint64)))
+        again = empty[empty < two[o]]  # two units, and so two keys
+        content = np.repeat(np.array([0, 1], np.uint64), (len(empty), len(again)))
+        out_e.append(np.full(len(content), o))
+        out_k.append(key(out_e[-1], np.append(empty, again), content))
     return doc[np.concatenate(out_e)], np.concatenate(out_k).view(np.int64)
 
 
-def _arrow(cols: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(cols)
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.where("doc_id is not null")
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, parts): size, 128-bit digest and part sizes of every document's set.
+def _names(d: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
+    """The 64-bit name of every set (0 of an empty one): a digest that the elements' order does not matter to."""
+    out = np.zeros(n_docs, np.uint64)
+    if len(d):
+        first = np.flatnonzero(np.diff(d, prepend=-1))
+        out[d[first]] = mix(np.add.reduceat(mix(h + U(1)), first))
+    return out
 
-    ``parts`` counts the elements by their first eight bits (one byte each, at most 255).
-    """
+
+def sketches(rows: DataFrame, width: int) -> DataFrame:
+    """(doc_id, name, n): name and size of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(batches, "doc_id", "text"):
             d, h = shingle_sets(texts, width)
-            n = np.bincount(d, minlength=len(ids))
-            out = []
-            for salt in (U(1), U(2)):
-                acc = np.zeros(len(ids) + 1, np.uint64)
-                if len(d):
-                    first = np.flatnonzero(np.diff(d, prepend=-1))
-                    acc[d[first]] = np.add.reduceat(mix(h + salt), first)
-                out.append(acc[:-1].view(np.int64))
-            parts = np.minimum(np.bincount(d * 256 + (h >> U(56)).astype(np.int64), minlength=256 * len(ids)), 255).astype(np.uint8).tobytes()
-            yield _arrow({
-                "doc_id": pa.array(ids, pa.int64()), "n_shingles": n.astype(np.int64), "s1": out[0], "s2": out[1],
-                "parts": pa.array([parts[256 * i : 256 * i + 256] for i in range(len(ids))], pa.binary())})
+            n = np.bincount(d, minlength=len(ids)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "name": _names(d, h, len(ids)).view(np.int64), "n": n})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.where("doc_id is not null").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, parts binary")
+    return rows.mapInArrow(run, "doc_id long, name long, n long")
 
 
-def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def _signatures(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, name) of every set's keys."""
     p = plan(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +195,10 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent
             d, h = shingle_sets(texts, width)
             if not len(d):
                 continue
-            first = np.flatnonzero(np.diff(d, prepend=-1))
-            whole = np.add.reduceat(mix(h), first)
+            name = _names(d, h, len(ids))
             fresh = np.zeros(len(ids), bool)
-            for at, s in zip(d[first].tolist(), whole.tolist(), strict=True):
+            for at in np.unique(d).tolist():
+                s = int(name[at])
                 if s not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
@@ -208,39 +206,73 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent
                     fresh[at] = True
             keep = fresh[d]
             owner, k = keys(d[keep], h[keep], len(ids), percent, p)
-            yield _arrow({"key": k, "doc": np.asarray(ids, np.int64)[owner]})
+            yield pa.RecordBatch.from_pydict({"key": k, "name": name[owner].view(np.int64)})
+
+    return rows.mapInArrow(run, "key long, name long")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.where("doc_id is not null").mapInArrow(run, "key long, doc long")
+
+def _members(signatures: DataFrame) -> DataFrame:
+    """(key, name, c): the different sets of every key of more than one, and their number."""
+    by_name = Window.partitionBy("key").orderBy("name")
+    of_key = Window.partitionBy("key")
+    rows = signatures.withColumn("fresh", (F.col("name") != F.lag("name").over(by_name)) | F.lag("name").over(by_name).isNull())
+    return rows.withColumn("c", F.count_if("fresh").over(of_key)).where("fresh and c > 1").select("key", "name", F.col("c").cast("int").alias("c"))
+
+
+def _space() -> Column:
+    return F.col("key").bitwiseAND(63).cast("int").alias("space")
 
 
-def _thinned(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text) of the wanted documents and, where they are many, of some others.
+def _spare(percent: int, space: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(int(x)) for x in plan(percent)["hot"]]), space + 1)
+
+
+def _meeting(members: DataFrame, percent: int, hot_keys: DataFrame) -> DataFrame:
+    """(a, b): sets that share as many keys of at most ``HOT`` sets as linked ones must.
+
+    ``hot_keys`` holds (name, space, h), the number of a set's hot keys in a space.
+    """
+    few = members.where(F.col("c") <= HOT)
+    pairs = few.select("key", F.col("name").alias("a")).join(few.select("key", F.col("name").alias("b")), "key").where("a < b")
+    pairs = pairs.groupBy("a", "b", _space()).agg(F.count(F.lit(1)).alias("shared"))
+    need = _spare(percent, F.col("space")) + 1 - F.col("shared")
+    pairs = pairs.select("a", "b", "space", need.alias("lacks"))
+    sure = pairs.where("lacks <= 0").select("a", "b")
+    # what is lacking may be in hot keys of both
+    rest = pairs.where("lacks > 0")
+    for side in ("a", "b"):
+        own = hot_keys.select(F.col("name").alias(side), "space", F.col("h").alias("h"))
+        rest = rest.join(own, [side, "space"]).where("lacks <= h").drop("h")
+    return sure.union(rest.select("a", "b")).distinct()
+
+
+def _thinned(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted documents (``doc``) and, where they are many, of some others.
 
     The wanted ids are a bitmap of fixed size, at most ``FILTER_BITS / 64`` rows. What is made of the
-    texts must still be joined with the wanted ids.
+    texts must still be joined with what is wanted.
     """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
     bitmap = wanted.select(F.col("doc").alias("doc_id")).select(slot.alias("slot"))
     bitmap = bitmap.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where("doc_id is not null").withColumn("slot", slot)
-    rows = rows.join(F.broadcast(bitmap), F.shiftright("slot", 6) == F.col("word"))
+    rows = rows.withColumn("slot", slot).join(F.broadcast(bitmap), F.shiftright("slot", 6) == F.col("word"))
     return rows.where(F.col("bits").bitwiseAND(bit) != 0).select("doc_id", "text")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc, n, items): the sets of the wanted documents, as little-endian 64-bit hashes."""
+def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(name, n, items): the wanted sets (name, doc), once each, as little-endian 64-bit hashes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys_, texts in text_chunks(batches, "doc_id", "text"):
+        for ids, texts in text_chunks(batches, "doc_id", "text"):
             d, h = shingle_sets(texts, width)
-            cut = np.searchsorted(d, np.arange(len(keys_) + 1))
-            yield _arrow({"doc": pa.array(keys_, pa.int64()), "n": np.diff(cut), "items": pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+            cut = np.searchsorted(d, np.arange(len(ids) + 1))
+            items = pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_pydict({"doc": pa.array(ids, pa.int64()), "name": _names(d, h, len(ids)).view(np.int64), "n": np.diff(cut), "items": items})
 
-    sets = _thinned(docs, wanted, id_col, text_col).mapInArrow(run, "doc long, n long, items binary")
-    return sets.join(wanted, "doc", "left_semi")
+    sets = _thinned(rows, wanted).mapInArrow(run, "doc long, name long, n long, items binary")
+    sets = sets.join(wanted.withColumnRenamed("doc", "of"), "name").where("doc = of")
+    return sets.select("name", "n", "items").dropDuplicates(["name"])
 
 
 def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,63 +287,65 @@ def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, first, last
 
 
-def _rarest(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(key, doc, lone): the rarest elements of the wanted sets, as many as two linked ones must share one of.
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of ``sets`` (name, n, items, component) of different components that may link.
 
-    With all elements in one order (number of wanted sets that hold it, then hash), linked sets of
-    sizes a and b share at least ``o = ceil(percent * (a + b) / (100 + percent))`` elements, so one of the
-    first ``a - o + 1`` of the one is among the first ``b - o + 1`` of the other. A key is an element and
-    the size classes of both. ``lone`` counts a set's elements that no other wanted set holds.
+    With all elements in one order (number of sets that hold it, then hash), linked sets of sizes a and b
+    share at least ``o = ceil(percent * (a + b) / (100 + percent))`` elements, so one of the first
+    ``a - o + 1`` of the one is among the first ``b - o + 1`` of the other. They meet by an element and the
+    size classes of both. Elements that one set alone holds, or one component, meet nothing.
     """
     low, first, last = size_classes(percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys_, texts in text_chunks(batches, "doc_id", "text"):
-            d, h = shingle_sets(texts, width)
-            n = np.bincount(d, minlength=len(keys_))
-            yield _arrow({"key": h.view(np.int64), "doc": np.asarray(keys_, np.int64)[d], "n": n[d]})
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column("items")
+            h = [np.frombuffer(x.as_buffer(), np.int64) for x in items]
+            n = np.array([len(x) for x in h], np.int64)
+            at = np.repeat(np.arange(len(n)), n)
+            cols = {c: batch.column(c).to_numpy()[at] for c in ("name", "component")}
+            yield pa.RecordBatch.from_pydict({"key": np.concatenate([*h, np.empty(0, np.int64)]), **cols})
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, doc, n, at, lone = (batch.column(c).to_numpy() for c in ("key", "doc", "n", "at", "lone"))
+            key, n, at = (batch.column(c).to_numpy() for c in ("key", "n", "at"))
             c = np.searchsorted(low, n, "right") - 1
             many = last[c] - first[c] + 1
             row = np.repeat(np.arange(len(c)), many)
             other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[c][row]
-            share = -(-percent * (low[c[row]] + low[other]) // (100 + percent))
+            share = -(-percent * (n[row] + np.maximum(low[other], -(-percent * n[row] // 100))) // (100 + percent))
             ok = at[row] <= n[row] - share + 1
             row, other = row[ok], other[ok]
             pair = (np.minimum(c[row], other) << 12) | np.maximum(c[row], other)
-            yield _arrow({"key": mix(key[row].view(np.uint64) + mix(pair.astype(np.uint64))).view(np.int64), "doc": doc[row], "lone": lone[row]})
-
-    items = _thinned(docs, wanted, id_col, text_col).mapInArrow(run, "key long, doc long, n long").join(wanted, "doc", "left_semi")
-    often = items.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
-    place = F.row_number().over(Window.partitionBy("doc").orderBy("often", "key")).cast("long")
+            cols = {k: batch.column(k).to_numpy()[row] for k in ("name", "n", "component", "lone", "at")}
+            yield pa.RecordBatch.from_pydict({"key": mix(key[row].view(np.uint64) + mix(pair.astype(np.uint64))).view(np.int64), **cols})
+
+    items = sets.select("name", "component", "items").mapInArrow(spread, "key long, name long, component long")
+    held = items.groupBy("key").agg(F.count(F.lit(1)).alias("often"), (F.min("component") < F.max("component")).alias("open")).where("often > 1")
+    shared = items.join(held, "key").join(sets.select("name", "n"), "name")
+    own = Window.partitionBy("name")
+    lone = F.col("n") - F.count(F.lit(1)).over(own)
+    at = lone + F.row_number().over(own.orderBy("often", "key"))
     loosest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    lone = F.count_if(F.col("often") == 1).over(Window.partitionBy("doc"))
-    rare = items.join(often, "key").withColumn("lone", lone).withColumn("at", place).where(F.col("at") <= loosest).where("often > 1")
-    return rare.select("key", "doc", "n", "at", "lone").mapInArrow(expand, "key long, doc long, lone long")
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, stats: DataFrame) -> DataFrame:
+    rare = shared.withColumn("lone", lone).withColumn("at", at).where((F.col("at") <= loosest) & F.col("open"))
+    rare = rare.select("key", "name", "n", "component", "lone", "at").mapInArrow(expand, "key long, name long, n long, component long, lone long, at long")
+    x, y = (rare.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("name", "n", "component", "lone", "at")]) for side in "ab")
+    # the classes are a little loose: by the pair's own sizes, neither side may have fewer elements from here on than must be
+    # shared, nor may the elements of one side alone be more than the sets may differ by
+    total = F.col("n_a") + F.col("n_b")
+    share = F.ceil(percent * total / (100 + percent))
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + 1
+    apart = F.col("lone_a") + F.col("lone_b") + F.abs((F.col("n_a") - F.col("lone_a")) - (F.col("n_b") - F.col("lone_b")))
+    fine = (left >= share) & (apart <= total - 2 * share)
+    pairs = x.join(y, "key").where((F.col("name_a") < F.col("name_b")) & (F.col("component_a") != F.col("component_b")) & fine)
+    return pairs.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    a = stats.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("parts").alias("pa"))
-    b = stats.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("parts").alias("pb"))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for c in ("pa", "pb"))
-            apart = np.abs(x - y).sum(1, dtype=np.int64)  # never more than the symmetric difference
-            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= (100 - percent) * n // (100 + percent)))
-
-    pairs = pairs.join(a, "a").where(F.col("na") > 0).join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = written(pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(near, "a long, b long"), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = written(_sets(docs, wanted, id_col, text_col, width), "sets")
-    both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b").join(
-        sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a"
-    )
+    y = sets.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("items").alias("y"))
+    x = sets.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("items").alias("x"))
+    both = pairs.join(y, "b").join(x, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,9 +353,6 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
             xs, ys = batch.column("x"), batch.column("y")
             for i in range(batch.num_rows):
                 x, y = np.frombuffer(xs[i].as_buffer(), np.uint64), np.frombuffer(ys[i].as_buffer(), np.uint64)
-                if not len(x) or not len(y):
-                    keep.append(False)
-                    continue
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
                 same = int(np.count_nonzero(x[at] == y))
@@ -338,68 +369,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if percent < 80:
         raise ValueError(f"percent must be 80 or more: {percent}")
-    conf, batch = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(batch)
-    conf.set(batch, "512")  # rows hold whole texts or two whole sets
-    try:
-        return _near_duplicates(docs, id_col, text_col, width, percent)
-    finally:
-        conf.set(batch, before)
-
-
-def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    stats = written(sketches(docs, id_col, text_col, width), "sketch")
-    full = stats.where("n_shingles > 0").select("doc_id", "s1", "s2")
-    least = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    equal = full.join(least, ["s1", "s2"]).where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-
-    of_key = Window.partitionBy("key")
-    sigs = _signatures(docs, id_col, text_col, width, percent)
-    members = sigs.withColumn("hub", F.min("doc").over(of_key)).withColumn("c", F.count(F.lit(1)).over(of_key))
-    members = written(members.where("c > 1"), "members")
-    links = written(equal.union(_verify(
-        members.where("hub <> doc").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(),
-        docs, id_col, text_col, width, percent, stats)), "links")
-    comp = written(components(links), "comp")
-
-    def placed(rows: DataFrame, comp: DataFrame) -> DataFrame:
-        """Members of keys that still span components, with their component."""
-        rows = rows.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        return rows.withColumn("open", F.min("component").over(of_key) < F.max("component").over(of_key)).where("open").drop("open")
-
-    # keys of two members are settled by their star
-    left = written(placed(members.where("c > 2").select("key", "doc", "hub", "c"), comp), "open")
-    p = plan(percent)
-    spare = F.element_at(F.array(*[F.lit(int(x)) for x in p["hot"]]), (F.col("key").bitwiseAND(63) + 1).cast("int"))
-    space = F.col("key").bitwiseAND(63)
-    units = F.lit(1) + F.shiftright("key", 6).bitwiseAND(1)
-    hot = left.where(F.col("c") > HOT).withColumn("s", space)
-    unsafe = hot.groupBy("doc", "s").agg(F.sum(units).alias("n"), F.first(spare).alias("spare")).where("n > spare").select("doc").distinct()
-    rare = placed(_rarest(docs, written(unsafe, "unsafe"), id_col, text_col, width, percent), comp)
-    rare = written(rare.withColumn("c", F.count(F.lit(1)).over(of_key)), "rare")
-    x = left.where(F.col("c") <= HOT).select("key", "doc", "component", "hub").union(rare.where(F.col("c") <= HOT).select("key", "doc", "component", F.lit(None).cast("long")))
-    y = x.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"))
-    x = x.select("key", F.col("doc").alias("a"), F.col("component").alias("ca"), "hub")
-    pairs = x.join(y, "key").where("a < b and ca <> cb and not a <=> hub").select("a", "b").distinct()
-    hot = rare.where(F.col("c") > HOT)
-    todo, hubs = pairs, HUBS
-    while True:
-        more = written(_verify(todo, docs, id_col, text_col, width, percent, stats), "links")
-        if not more.isEmpty():
-            links = written(links.union(more), "links")
-            comp = written(components(links), "comp")
-        # the members left in each hot key with the fewest elements of their own (the middle of a group of
-        # copies) meet all others of other components, then leave; more of them every round
-        at = F.row_number().over(of_key.orderBy("lone", "doc"))
-        hot = written(placed(hot.select("key", "doc", "lone"), comp).withColumn("at", at), "hot")
-        if hot.isEmpty():
-            break
-        centre = hot.where(F.col("at") <= hubs).select("key", F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("at").alias("first"))
-        todo = centre.join(hot, "key").where("first < at and ca <> component").select("a", F.col("doc").alias("b")).distinct()
-        hot = hot.where(F.col("at") > hubs)
-        hubs *= 4
-    out = stats.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    bound_batches(docs.sparkSession)
+    rows, disk = _rows(docs, id_col, text_col), Scratch(docs.sparkSession)
+    stats = disk.write(sketches(rows, width), "sketch")
+    named = disk.write(stats.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc")), "named")
+    members = disk.write(_members(_signatures(rows, width, percent)), "members")
+
+    # sets with more hot keys than they can spare, and what meets in the middle of the hot keys
+    hot = members.where(F.col("c") > HOT).select("key", "name", "c", _space())
+    hot_keys = disk.write(hot.groupBy("name", "space").agg(F.count(F.lit(1)).alias("h"), F.sum("c").alias("w")), "hot")
+    unsafe = disk.write(hot_keys.where(F.col("h") > _spare(percent, F.col("space"))), "unsafe")
+    weight = unsafe.groupBy("name").agg(F.sum("w").alias("w"))
+    crowd = hot.join(unsafe.select("name", "space"), ["name", "space"], "left_semi").join(weight, "name")
+    middle = crowd.groupBy("key").agg(F.max(F.struct("w", "name")).alias("hub"))
+    star = crowd.join(middle, "key").select(F.col("hub.name").alias("a"), F.col("name").alias("b"), "space").where("a <> b")
+    star = star.groupBy("a", "b", "space").agg(F.count(F.lit(1)).alias("shared")).where(2 * F.col("shared") > _spare(percent, F.col("space")))
+    pairs = disk.write(_meeting(members, percent, hot_keys).union(star.select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), "pairs")
+    disk.drop("members", "hot")
+
+    loud = unsafe.select("name").distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).union(loud).distinct().join(named, "name")
+    sets = disk.write(_sets(rows, disk.write(wanted, "wanted"), width), "sets")
+    links = disk.write(_verified(pairs, sets, percent), "links")
+    comp = components(links, disk)
+    loud = sets.join(loud, "name", "left_semi").join(comp.withColumnRenamed("node", "name"), "name", "left")
+    rare = disk.write(_rarest(loud.withColumn("component", F.coalesce("component", "name")), percent), "rare")
+    links = links.union(disk.write(_verified(rare, sets, percent), "links"))
+
+    # an id with several texts ties their sets
+    ties = stats.where("n > 0").groupBy("doc_id").agg(F.min("name").alias("a"), F.max("name").alias("z")).where("a <> z")
+    ties = stats.where("n > 0").join(ties, "doc_id").select("a", F.col("name").alias("b")).where("a <> b")
+    comp = components(links.union(ties), disk).withColumnRenamed("node", "name")
+    placed = comp.join(named, "name")
+    least = placed.groupBy("component").agg(F.min("doc").alias("least"))
+    placed = disk.write(placed.join(least, "component").select("name", "least"), "placed")
+    disk.drop_all_but("sketch", "named", "placed")
+    out = stats.join(named, "name", "left").join(placed, "name", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("least", "doc")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -408,8 +414,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Of repeated rows with that id all stay; rows with a null id stay.
     """
     gone = near_duplicates(docs, **options).where("component_id <> doc_id").select("doc_id").distinct()
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    key = free_name(docs, "gone")
+    return docs.join(gone.withColumnRenamed("doc_id", key), F.col(options.get("id_col", "doc_id")) == F.col(key), "left_anti")
 
 
 ORACLE = r"""

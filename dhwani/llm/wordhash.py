@@ -7,15 +7,21 @@ values, taken from one prefix sum for a whole chunk, then mixed.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 U = np.uint64
+#: Bytes hashed at a time.
+PIECE = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _BYTE[65:91] = _BYTE[97:123]
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_BLANKS = re.compile(rb"[\x20\x09-\x0D]")
 _POWERS: dict[str, np.ndarray] = {}
 #: Odd multipliers of the five places of a shingle.
 _PLACE = (np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) << U(1)) | U(1)
@@ -53,16 +59,42 @@ def byte_hashes(data: np.ndarray, member: np.ndarray, prefixes: tuple[int, ...]
     return h, start, end, *first
 
 
+def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Text indices and texts in runs of about ``PIECE`` bytes; a longer text is cut at blanks, its words stay whole."""
+    which, run, size = [], [], 0
+    for i, text in enumerate(texts):
+        start = 0
+        while start < len(text) or not start:
+            cut = _BLANKS.search(text, start + PIECE) if len(text) - start > PIECE else None
+            stop = cut.start() if cut else len(text)
+            which.append(i)
+            run.append(text[start:stop] if start or cut else text)
+            size += stop - start
+            start = max(stop, 1)
+            if size >= PIECE:
+                yield which, run
+                which, run, size = [], [], 0
+    if run:
+        yield which, run
+
+
 def words(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray | list[np.ndarray], np.ndarray]:
     """(hash of every word in order, its length in bytes, number of words of every text).
 
-    With ``prefixes``, the hashes of the words' first so many bytes take the lengths' place.
+    With ``prefixes``, the hashes of the words' first so many bytes take the lengths' place. Hashing takes
+    many times the bytes it looks at, so it goes piece by piece.
     """
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    h, start, end, *first = byte_hashes(data, ~_BLANK, prefixes)
-    stop = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    n = np.diff(np.searchsorted(start, stop), prepend=0)
-    return h, first if prefixes else end - start, n
+    hashes, sizes, firsts, n = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [[np.empty(0, np.uint64)] for _ in prefixes], np.zeros(len(texts), np.int64)
+    for which, run in _pieces(texts):
+        data = np.frombuffer(b"\n".join(run) + b"\n", np.uint8)
+        h, start, end, *first = byte_hashes(data, ~_BLANK, prefixes)
+        stop = np.cumsum(np.fromiter((len(t) + 1 for t in run), np.int64, len(run)))
+        np.add.at(n, which, np.diff(np.searchsorted(start, stop), prepend=0))
+        hashes.append(h)
+        sizes.append(end - start)
+        for held, x in zip(firsts, first, strict=True):
+            held.append(x)
+    return np.concatenate(hashes), [np.concatenate(x) for x in firsts] if prefixes else np.concatenate(sizes), n
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
