@@ -11,6 +11,7 @@ from dhwani.functions import tables as T
 from dhwani.functions import text as X
 from dhwani.operators import relational
 
+# Words with their tokens.
 WORDS = """
 নাম: n a m
 কম: k o m
@@ -66,6 +67,7 @@ WORDS = """
 শুভ সকাল: sh u bh | sh o k a l
 """
 
+# Texts with their normal forms.
 NORMAL = [
     ("আমার ৫ টাকা", "আমার পাঁচ টাকা"),
     ("3409", "তিন হাজার চারশো নয়"),
