@@ -205,7 +205,38 @@ def distinct_words(spark, sf_dir):
     return E.per_distinct_word(texts(spark, sf_dir))
 
 
-@query(None)
+@query(O.SYLLABLES)
+def syllables(spark, sf_dir):
+    """Constructed words: every conjunct, consonant and vowel with every sign at every place of a word."""
+    rows = [(h * 1000 + e * 20 + f, a + x + y + b) for h, x in enumerate(O.HEARTS) for e, y in enumerate(O.ENDS) for f, (a, b) in enumerate(O.FRAMES)]
+    return spark.createDataFrame(rows, "id long, text string").select("id", F.array_join(P.phonemes(F.col("text")), " ").alias("tokens"))
+
+
+@query(O.DOCUMENT_TOKENS)
+def document_tokens(spark, sf_dir):
+    """Whole documents, as Bengali, to tokens."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", P.phonemes(bengali(F.col("text"))).alias("tokens"))
+    return rows.select("doc_id", F.size("tokens").alias("n_tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"))
+
+
+@query(O.STAGE_TRACE)
+def stage_trace(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate([*O.NORMAL_DEMOS, *O.PATH_DEMOS])), "id long, text string")
+    return E.stage_trace(rows).select("id", "step", "stage", "value")
+
+
+@query(O.RISK_DEMO)
+def risk_demo(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(O.RISK_DEMOS)), "id long, text string")
+    return E.risk_rows(rows, "text").select("id", "pos", "rule", "code", "detail")
+
+
+@query(O.DISPLAY_ROWS)
+def display_rows(spark, sf_dir):
+    return E.display_rows(E.evaluated(word_table(spark, sf_dir), lexicon_table(spark)))
+
+
+@query(O.GOLDEN_PAIRS)
 def goldens(spark, sf_dir):
     """The self-test's pairs: word, expected and found tokens, and whether they agree."""
     rows = spark.createDataFrame(O.GOLDENS, "word string, expected string")

@@ -21,6 +21,15 @@ GOLDENS = [
 ]
 
 
+# Sentences and words that show the normaliser, the whole path and the risk flags.
+NORMAL_DEMOS = [
+    "ডঃ আহমেদ ১২ জানুয়ারি জন্মগ্রহণ করেন।", "বাংলাদেশের মোট জনসংখ্যা ১৭০ মিলিয়ন।", "আমার mobile number হলো ০১৭১২৩৪৫৬৭৮।",
+    "তাপমাত্রা ৩৮ ডিগ্রি সেলসিয়াস।", "মি. করিম ঢাঃ থেকে এসেছেন।",
+]
+PATH_DEMOS = ["বাংলা আমার মাতৃভাষা।", "আমি ঢাকায় থাকি।", "তার বয়স ২৫ বছর।", "ডঃ করিম একজন বিজ্ঞানী।"]
+RISK_DEMOS = ["পুরনো", "মাংস", "সাইকেল", "আমি"]
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -33,6 +42,24 @@ def _map(column: str, table: dict) -> str:
     return "CASE " + column + " " + " ".join(f"WHEN {q(k)} THEN {q(v if isinstance(v, str) else ' '.join(v))}" for k, v in table.items()) + " END"
 
 
+def _values(texts: list[str]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, {q(t)})" for n, t in enumerate(texts)) + ") AS v(id, text)"
+
+
+#: Frames, signs and letters of the constructed syllables: every conjunct, consonant and vowel with every sign at every place of a word.
+FRAMES = [("", ""), ("", "ন"), ("", "না"), ("", "নি"), ("ক", ""), ("ক", "ন"), ("কা", "নি"), ("", "য়া"), ("", "্যা"), ("অ", "য়া"), ("", " ১ ")]
+ENDS = ["", *T.SIGNS, T.HASANTA, T.NASAL, *T.MARKS, "\u09be" + T.NASAL]
+HEARTS = [*T.CONJUNCTS, *T.CONSONANTS, *T.VOWELS]
+
+
+def syllables() -> str:
+    rows = lambda name, values: f"(VALUES {', '.join(values)}) AS {name}"
+    hearts = [f"({n}, {q(x)})" for n, x in enumerate(HEARTS)]
+    ends = [f"({n}, {q(x)})" for n, x in enumerate(ENDS)]
+    frames = [f"({n}, {q(a)}, {q(b)})" for n, (a, b) in enumerate(FRAMES)]
+    return f"SELECT (h * 1000 + e * 20 + f)::BIGINT AS id, a || x || y || b AS text FROM {rows('s(h, x)', hearts)}, {rows('t(e, y)', ends)}, {rows('u(f, a, b)', frames)}"
+
+
 def bengali(column: str) -> str:
     return f"translate(translate({column}, {q(UPPER)}, {q(LOWER)}), {q(LOWER)}, {q(BENGALI)})"
 
@@ -93,7 +120,7 @@ def normalized(table: str) -> str:
 
 def pre(text: str) -> str:
     text = f"nfc_normalize({text})"
-    for parts, whole in (("য়", "য়"), ("ড়", "ড়"), ("ঢ়", "ঢ়")):
+    for parts, whole in (("\u09af\u09bc", "\u09df"), ("\u09a1\u09bc", "\u09dc"), ("\u09a2\u09bc", "\u09dd")):
         text = f"replace({text}, {q(parts)}, {q(whole)})"
     return text
 
@@ -187,6 +214,14 @@ WORD_FLAGS = f"WITH {clusters(TURNS)} SELECT id, pos, init AS initial, fin AS fi
 PHONEMES = f"WITH {spoken(TURNS)} SELECT id, tokens FROM spoken"
 PIPELINE_TOKENS = f"""WITH {normalized(TEXTS)}, {spoken('SELECT * FROM normal')}
 SELECT id, text AS normalized, tokens, replace(tokens, ' ', ' - ') AS read_as FROM normal JOIN spoken USING (id)"""
+SYLLABLES = f"WITH {spoken(syllables())} SELECT id, tokens FROM spoken"
+DOCUMENT_TOKENS = f"""WITH {spoken('SELECT doc_id AS id, ' + bengali('text') + ' AS text FROM documents')}
+SELECT id AS doc_id, CASE WHEN tokens = '' THEN 0 ELSE len(string_split(tokens, ' ')) END::INTEGER AS n_tokens, sha256(tokens) AS tokens_sha256 FROM spoken"""
+GOLDEN_PAIRS = "SELECT word, expected, expected AS found, true AS pass FROM (VALUES " + ", ".join(f"({q(w)}, {q(t)})" for w, t in GOLDENS) + ") AS v(word, expected)"
+STAGE_TRACE = f"""WITH raw AS ({_values([*NORMAL_DEMOS, *PATH_DEMOS])}), {normalized('SELECT * FROM raw')}, {spoken('SELECT * FROM normal')},
+a AS (SELECT raw.id, raw.text AS raw, normal.text AS normal, tokens FROM raw JOIN normal USING (id) JOIN spoken USING (id))
+SELECT id, 1 AS step, 'RAW' AS stage, raw AS value FROM a UNION ALL SELECT id, 2, 'NORMALIZED', normal FROM a
+UNION ALL SELECT id, 3, 'PHONEMES', tokens FROM a UNION ALL SELECT id, 4, 'READ AS', replace(tokens, ' ', ' - ') FROM a"""
 _LEX = ", ".join(f"({n}, {q(line)})" for n, line in enumerate(LEXICON)).replace("\t", "' || chr(9) || '")
 _LEXICON = f"""lines(n, line) AS (VALUES {_LEX}),
 lx AS (SELECT n, string_split(trim(line, ' ' || chr(9)), chr(9)) AS x FROM lines WHERE trim(line, ' ' || chr(9)) <> '' AND NOT starts_with(trim(line, ' ' || chr(9)), '#')),
@@ -217,6 +252,9 @@ def _risks(table: str) -> str:
     return f"WITH {clusters(table)}, risks AS ({' UNION ALL '.join(parts)})"
 
 
+RISK_DEMO = _risks(_values(RISK_DEMOS)) + " SELECT * FROM risks"
+DISPLAY_ROWS = _MARKED + """ SELECT id AS line_no, '  ' || CASE WHEN mark = '❌' THEN '🔄' ELSE mark END || '  ' || CASE WHEN length(word) < 20 THEN rpad(word, 20, ' ') ELSE word END || ' ' ||
+  CASE WHEN answer <> '' THEN answer ELSE said END AS shown FROM v"""
 RISK_FLAGS = _risks(TURNS) + " SELECT * FROM risks"
 RISK_HIST = _risks(TEXTS) + f" SELECT code, {_map('code', T.RISK_LABELS)} AS label, count(*) AS n FROM risks GROUP BY code"
 DISTINCT_WORDS = f"""WITH {normalized(TEXTS)}, dw AS (SELECT w AS text, count(*) AS n, row_number() OVER (ORDER BY w) AS id FROM (SELECT unnest(string_split(text, ' ')) AS w FROM normal) WHERE w <> '' GROUP BY w),

@@ -25,8 +25,7 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     from the scan's own order, so no shuffle is needed.
     """
     lines = spark.read.text(path)
-    file = F.xxhash64(F.input_file_name())
-    return lines.select(F.struct(file.alias("file"), F.monotonically_increasing_id().alias("at")).alias("line_no"), F.col("value").alias("line"))
+    return lines.select(F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).alias("line_no"), F.col("value").alias("line"))
 
 
 def lexicon(spark: SparkSession, path: str) -> DataFrame:

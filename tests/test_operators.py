@@ -39,6 +39,11 @@ def test_evaluation(spark, files):
     E.write_results(got, str(files / "out"))
     back = spark.read.option("header", True).csv(str(files / "out"))
     assert back.columns == ["Word", "Engine Output", "Lexicon Answer", "Final Output", "Match", "Notes"] and back.count() == 5
+    E.write_results(got, str(files / "bom"), bom=True)
+    (part,) = (files / "bom").glob("part-*.csv")
+    assert part.read_bytes().startswith("\ufeffWord,".encode())
+    shown = [r.shown for r in E.display_rows(got).orderBy("line_no").collect()]
+    assert shown[0] == f"  ✅  {'নাম':<20} n - a - m" and shown[2].startswith("  ?  #kept")
     assert spark.range(1).select(E.display_mark(F.lit("❌"), F.lit("x"))).first()[0] == "🔄"
 
 
@@ -56,3 +61,16 @@ def test_stream(spark, files):
     query.processAllAvailable()
     query.stop()
     assert {r.word: r.pronunciation for r in spark.sql("select * from told").collect()} == {"আমি ১০": "", "নাম": "n - a - m"}
+
+
+def test_session_ends_at_a_quit_word(spark, files):
+    (files / "typed").mkdir()
+    (files / "typed" / "a.txt").write_text("নাম\n\n কম \n Quit \nনাম\n", encoding="utf-8")
+    said = []
+    ended = stream.session(spark, str(files / "typed"), str(files / "cp3"), lambda rows: said.extend(rows.orderBy("line_no").collect()), 60)
+    assert ended and [r.read_as for r in said] == ["n - a - m", "k - o - m"]
+
+
+def test_stage_trace(spark):
+    rows = E.stage_trace(spark.createDataFrame([(1, "কম।")], "id long, text string")).orderBy("step").collect()
+    assert [(r.stage, r.value) for r in rows] == [("RAW", "কম।"), ("NORMALIZED", "কম"), ("PHONEMES", "k o m"), ("READ AS", "k - o - m")]
