@@ -102,3 +102,28 @@ def test_licences(rows):
     spans = {r.license: (r.first_word, r.n_words) for r in licenses.scan(rows(docs[:1])).collect()}
     assert spans == {"mit": (1, 5)}
     assert licenses.scan(rows([])).count() == 0
+
+
+def test_licences_inside_longer_parts(rows):
+    """Notices in the middle of a line, over several paragraphs, and with a few words changed."""
+    full = licenses.TEMPLATES["mit-full"]
+    cut = full.index("THE SOFTWARE IS")
+    laid_out = "MIT License\n\nCopyright (c) 2020 A B\n\n" + full[:cut].replace("conditions: ", "conditions:\n\n") + "\n\n" + full[cut:] + "\n\ncode follows " * 50
+    changed = licenses.TEMPLATES["mpl-2.0-notice"].replace("one at", "one copy at")
+    docs = [(1, "Made here. Released under the MIT License. See the file for details."), (1, laid_out), (None, f"# {changed} #"), (3, "plain words " * 300)]
+    wide = rows([(d, t, "x") for d, t in docs], "doc_id long, text string, license string")
+    got = sorted((r.doc_id or 0, r.license, r.n_units) for r in licenses.scan(wide).collect())
+    assert got == [(0, "mpl-2.0-notice", 1), (1, "mit", 0), (1, "mit-full", 0), (1, "mit-grant", 0)]
+
+
+def test_licence_windows_against_brute_force():
+    r = random.Random(9)
+    for _ in range(200):
+        words = [r.choice("abc") for _ in range(r.randrange(2, 40))]
+        grams = np.array([hash((x, y)) & 0xFFFF for x, y in zip(words, words[1:], strict=False)], np.uint64)
+        template = Counter(int(x) for x in grams[r.randrange(len(grams)) :][: r.randrange(1, 9)].tolist())
+        size = sum(template.values())
+        want = max((sum((Counter(grams[s : s + size].tolist()) & template).values()) for s in range(len(grams) - size + 1)), default=0)
+        at = np.flatnonzero(np.isin(grams, np.fromiter(template, np.uint64)))
+        got = max((m for m, _ in licenses._windows(at, grams, template, size, 0.6, 0, len(grams))), default=0)
+        assert got == (want if want >= 0.6 * size - 1e-9 else 0)
