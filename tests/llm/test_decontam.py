@@ -59,5 +59,26 @@ def test_edges(rows, monkeypatch):
 
 def test_no_true_hit_in_a_chunk():
     index = decontam.Index([(1, b"the quick brown fox jumps")], 0.05)
-    index.table[:] = True  # every place passes the table, none is in the index
+    for g in index.grams:
+        g.table[:] = True  # every place passes the table, none is in the index
     assert index.find([b"0123456789 0123456789", b"", b"x"]) == []
+
+
+def test_edits_of_short_items_and_letters_outside_ascii():
+    short, other = "twenty-three characters", "\u09ac\u09be\u0982\u09b2\u09be \u09ad\u09be\u09b7\u09be\u09b0 \u0995\u09a5\u09be \u09ac\u09b2\u09bf\u0993"
+    index = decontam.Index([(1, short.encode()), (2, other.encode())], 0.05)
+    assert len(short) == 23 and len(other) == 20 and index.edits.tolist() == [1, 1]
+    one = ["so " + short.replace("three", "throe") + " here", "x " + other.replace("\u0995", "\u09a8") + "!"]
+    two = ["so " + short.replace("three", "threwn") + " here", "x " + other.replace("\u0995\u09a5", "\u09a8\u09a8") + "!"]
+    assert [x[:3] for x in index.find([t.encode() for t in one + two])] == [(0, 0, 1), (1, 1, 1)]
+
+
+def test_repetitive_and_long_texts(monkeypatch):
+    r = random.Random(5)
+    items = [(1, b"ab" * 60), (2, b"a" * 90), (3, "".join(r.choice("abcdefg") for _ in range(130)).encode()), (4, "é".encode() * 50)]
+    texts = [b"a" * 3000 + b"b" + b"ab" * 400, "x".encode() * 700 + items[2][1] + b"y" * 900, ("é" * 30 + "e" + "é" * 500).encode(), b"a" * 89]
+    whole = decontam.Index(items, 0.05).find(texts)
+    assert {x[:3] for x in whole} >= {(0, 0, 0), (0, 1, 0), (1, 2, 0), (2, 3, 0), (3, 1, 1)}
+    monkeypatch.setattr(decontam, "PIECE", 200)
+    monkeypatch.setattr(decontam, "HITS", 64)
+    assert decontam.Index(items, 0.05).find(texts) == whole
