@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dhwani.llm import bpe, decontam, linededup, setjoin, toxicity
-from dhwani.llm.common import table, written
+from dhwani.llm.common import free_name, table, written
 from dhwani.llm.queries import vocabulary_path
 
 
@@ -27,9 +27,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = linededup.deduplicated(docs, shortest=1)
-    left = left.where((F.col("n_kept") > 0) | (F.col("n_lines") == 0))
-    return left.select(*docs.columns).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    lines, kept, near = (free_name(docs, f"line_{x}") for x in ("count", "kept", "near"))
+    left = linededup.deduplicated(docs, counts=(lines, kept, near))
+    left = left.where((F.col(kept) > 0) | (F.col(lines) == 0)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return left
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

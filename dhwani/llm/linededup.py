@@ -1,20 +1,23 @@
 """Line deduplication by a segment-partition edit join (DataFrame operations only).
 
 A line goes when an equal line, or one within one edit, stands earlier (by document id, then place).
-Lines shorter than ``min_chars`` code points stay, or with ``shortest`` go where an equal line stands earlier.
+Lines shorter than ``min_chars`` code points go for equal lines only, lines shorter than ``shortest`` stay.
 
 Method. Equal lines first become one, by a 128-bit hash, pre-aggregated. A distinct line is cut into
 threshold-plus-one segments (two), which are indexed under its length; it probes with its own segments
 and with the prefix and suffix that a line one shorter would have. Two lines within one edit share a key.
+Keys are counted by a pre-aggregation, and the keys that meet joined back, so that a frequent one can be split.
 Pairs that meet are verified by banded bit-parallel edit distance on what the shared segment leaves.
 
 Keys of more than ``HOT`` lines are not paired: their members are grouped by all but one sixteenth of the
-unshared part, and within such a group by what is left after deleting each character of that sixteenth. Members of a group of one deleted place are within one substitution
-of each other, and a member that equals another's deletion is within one insertion of it; both are exact,
-linear in the key's members, and groups are bounded by the alphabet and the line.
+unshared part, and within such a group by what is left after deleting each character of that sixteenth.
+Members that agree there are a substitution or an insertion apart: each is paired with the earliest of its
+group only, and the pair is verified by the banded distance like any other. That is linear in the key's members, and
+such groups are bounded by the alphabet and the line.
 
 Defined results. Null text: stays null, no lines. Empty text: one empty line. Lines end at ``\\n`` only.
-Repeated rows of a document count as one document; rows with a null id stay as they are. Ties cannot
+Repeated rows of a document count as one document; rows of one id with different texts are documents of
+their own, in the order of the texts' hashes. Rows with a null id stay as they are. Ties cannot
 happen between different places. Extra columns are kept. Empty table: empty result.
 """
 
@@ -24,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dhwani.llm.common import written
+from dhwani.llm.common import Scratch, free_name
 
 EDITS = 1
-MIN_CHARS = 20
+#: Shortest line that is compared with others by edits, and shortest line that goes for an equal one.
+MIN_CHARS, SHORTEST = 20, 1
 HOT = 16
 FILTER_BITS = 1 << 23
 
@@ -72,7 +76,7 @@ def _bits(v: Column, k: int) -> Column:
     return F.array(*[F.shiftright(v, t).bitwiseAND(1) for t in range(2 * k + 1)])
 
 
-def _trimmed(pairs: DataFrame, k: int) -> DataFrame:
+def _trimmed(pairs: DataFrame, k: int, disk: Scratch) -> DataFrame:
     """Pairs with the common beginnings and ends of ``x`` and ``y`` cut, to a sixteenth of their length.
 
     That leaves the distance as it is. With one edit allowed, pairs that keep more than the sixteenths an
@@ -82,18 +86,25 @@ def _trimmed(pairs: DataFrame, k: int) -> DataFrame:
     part = lambda n: F.floor(size * n / 16).cast("int")
     head = F.coalesce(*[F.when(F.col("y").startswith(F.substring("x", F.lit(1), part(n))), part(n)) for n in range(16, 0, -1)], F.lit(0))
     # each step is written, or its expressions would be copied into the next ones many times over
-    pairs = written(pairs.select("a", "b", "x", "y", F.floor(size / 16).alias("most"), head.alias("head")), "pairs")
+    pairs = disk.write(pairs.select("a", "b", "x", "y", F.floor(size / 16).alias("most"), head.alias("head")), "pairs")
     pairs = pairs.withColumn("x", F.substring("x", F.col("head") + 1, size)).withColumn("y", F.substring("y", F.col("head") + 1, F.char_length("y")))
     tail = F.coalesce(*[F.when(F.col("y").endswith(F.substring("x", size - part(n) + 1, part(n))), part(n)) for n in range(16, 0, -1)], F.lit(0))
-    pairs = written(pairs.select("a", "b", "x", "y", "most"), "pairs")
-    pairs = written(pairs.select("a", "b", "x", "y", (F.col("most") + F.floor(size / 16)).alias("most"), tail.alias("tail")), "pairs")
+    pairs = disk.write(pairs.select("a", "b", "x", "y", "most"), "pairs")
+    pairs = disk.write(pairs.select("a", "b", "x", "y", (F.col("most") + F.floor(size / 16)).alias("most"), tail.alias("tail")), "pairs")
     pairs = pairs.withColumn("x", F.substring("x", F.lit(1), size - F.col("tail"))).withColumn("y", F.substring("y", F.lit(1), F.char_length("y") - F.col("tail")))
     return pairs.where(F.char_length("x") <= F.col("most") + 2) if k == 1 else pairs
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line) of all lines."""
-    return docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """(id, line) of all lines; an id is the document's, its text's hash and the place."""
+    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("of"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return rows.select(F.struct("doc_id", "of", "pos").alias("id"), "line")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """The rows whose ``key`` meets others (some row of role 0, two at least), with their number ``c``."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("role") == 0).alias("c0")).where("c > 1 and c0 > 0")
+    return rows.join(counts.drop("c0"), "key")
 
 
 def _key(segment: int, length: Column, part: Column) -> Column:
@@ -107,41 +118,39 @@ def _left_over(line: Column, seg: Column, role: Column) -> Column:
     return F.when(seg == 1, F.substring(line, half + 1, size)).otherwise(F.substring(line, F.lit(1), size - ((size - role) - half)))
 
 
-def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shortest: int | None = None) -> DataFrame:
-    """(doc_id, kept, n_near): places of a document's lines that stay, of those at least ``shortest`` long.
+def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shortest: int = SHORTEST) -> DataFrame:
+    """(doc_id, of, kept, n_near): places of a document's lines that stay, of those at least ``shortest`` long.
 
-    Lines under ``min_chars`` go for equal lines only; by default none as short is looked at. ``n_near`` counts the document's first occurrences that go because of an earlier line one edit away.
+    ``of`` is the hash of the document's text. ``n_near`` counts the document's first occurrences that go because of an earlier line one edit away.
     """
-    lines = _lines(docs.select("doc_id", "text")).where(F.char_length("line") >= (min_chars if shortest is None else shortest))
+    disk = Scratch(docs.sparkSession)
+    lines = _lines(docs.select("doc_id", "text")).where(F.char_length("line") >= shortest)
     line, size = F.col("line"), F.char_length("line")
     half, half1 = F.floor(size / 2).cast("int"), F.floor((size - 1) / 2).cast("int")
     own = [_key(1, size, F.substring(line, F.lit(1), half)), _key(2, size, F.substring(line, half + 1, size))]
     shorter = [_key(1, size - 1, F.substring(line, F.lit(1), half1)), _key(2, size - 1, F.substring(line, half1 + 2, size))]
     reps = lines.select(
-        F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"), F.struct("doc_id", "pos").alias("id"),
+        F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"), "id",
         *[F.when(size >= min_chars, k).alias(f"k{n}") for n, k in enumerate(own + shorter)])
-    reps = written(reps.groupBy("h1", "h2").agg(F.min("id").alias("id"), *[F.first(f"k{n}").alias(f"k{n}") for n in range(4)]).drop("h1", "h2"), "lines")
+    reps = disk.write(reps.groupBy("h1", "h2").agg(F.min("id").alias("id"), *[F.first(f"k{n}").alias(f"k{n}") for n in range(4)]).drop("h1", "h2"), "lines")
 
     probes = F.explode(F.array(*[F.struct(F.col(f"k{n}").alias("key"), F.lit(n // 2).alias("role"), F.lit(n % 2 + 1).alias("seg")) for n in range(4)]))
-    of_key = Window.partitionBy("key")
-    met = reps.select("id", probes.alias("p")).select("id", "p.*").where("key is not null")
-    met = met.withColumn("c", F.count(F.lit(1)).over(of_key)).withColumn("c0", F.count_if(F.col("role") == 0).over(of_key))
-    met = written(met.where("c > 1 and c0 > 0").drop("c0"), "met")
+    met = disk.write(_met(reps.select("id", probes.alias("p")).select("id", "p.*").where("key is not null")), "met")
 
     # the texts of lines that met, thinned by a bitmap of fixed size before the exact join
-    slot = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(FILTER_BITS))
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
-    wanted = met.select("id.doc_id", "id.pos").distinct()
+    wanted = met.select("id").distinct()
     bitmap = wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
     texts = lines.join(F.broadcast(bitmap), F.shiftright(slot, 6) == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0)
-    texts = texts.join(wanted, ["doc_id", "pos"]).select(F.struct("doc_id", "pos").alias("id"), "line").dropDuplicates(["id"])
-    met = written(met.join(texts, "id").withColumn("rest", _left_over(F.col("line"), F.col("seg"), F.col("role"))).drop("line"), "met")
+    texts = disk.write(texts.join(wanted, "id").select("id", "line").dropDuplicates(["id"]), "texts")
+    met = disk.write(met.join(texts, "id").withColumn("rest", _left_over(F.col("line"), F.col("seg"), F.col("role"))).drop("line"), "rests")
+    disk.drop("met")
 
     few = met.where(F.col("c") <= HOT)
     a = few.where("role = 0").select("key", F.col("id").alias("a"), F.col("rest").alias("x"))
     b = few.select("key", F.col("id").alias("b"), F.col("rest").alias("y"), "role")
-    pairs = a.join(b, "key").where((F.col("a") != F.col("b")) & ((F.col("role") == 1) | (F.col("a") < F.col("b"))))
-    linked = _trimmed(pairs, EDITS).where(banded_distance(F.col("x"), F.col("y"), EDITS) <= EDITS).select(F.greatest("a", "b").alias("id"))
+    pairs = a.join(b, "key").where((F.col("a") != F.col("b")) & ((F.col("role") == 1) | (F.col("a") < F.col("b")))).select("a", "b", "x", "y")
 
     # members of a hot key that agree in all but one sixteenth of what is left
     base = F.char_length("rest") - F.col("role")
@@ -149,42 +158,60 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shortest: int | None
     cells = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda n: F.struct(
         F.xxhash64("key", n, F.substring("rest", F.lit(1), edge(n)), F.substring("rest", edge(n + 1) + F.col("role") + 1, F.char_length("rest"))).alias("key"),
         F.substring("rest", edge(n) + 1, edge(n + 1) - edge(n) + F.col("role")).alias("rest")))
-    many = met.where(F.col("c") > HOT).select("id", "role", F.explode(cells).alias("cell")).select("id", "role", "cell.*")
-    many = many.withColumn("c", F.count(F.lit(1)).over(of_key)).withColumn("c0", F.count_if(F.col("role") == 0).over(of_key)).where("c > 1 and c0 > 0")
+    many = _met(met.where(F.col("c") > HOT).select("id", "role", F.explode(cells).alias("cell")).select("id", "role", "cell.*"))
     places = F.sequence(F.lit(1), F.greatest(F.char_length("rest"), F.lit(1)))
     without = lambda p: F.xxhash64(F.concat(F.substring(F.col("rest"), F.lit(1), p - 1), F.substring(F.col("rest"), p + 1, F.char_length("rest"))))
     swaps = many.where("role = 0").select("key", "id", F.explode(F.transform(places, lambda p: F.struct(p.alias("p"), without(p).alias("left")))).alias("v")).select("key", "id", "v.*")
-    swapped = swaps.withColumn("least", F.min("id").over(Window.partitionBy("key", "p", "left"))).where("least < id").select("id")
+    swapped = swaps.withColumn("a", F.min("id").over(Window.partitionBy("key", "p", "left"))).select("a", F.col("id").alias("b"))
     whole = many.where("role = 0").select("key", "id", "role", F.xxhash64("rest").alias("left"))
     cut = many.where("role = 1").select("key", "id", "role", F.explode(F.array_distinct(F.transform(places, without))).alias("left"))
     meet = Window.partitionBy("key", "left")
     grown = whole.union(cut).withColumn("x", F.min(F.when(F.col("role") == 0, F.col("id"))).over(meet)).withColumn("y", F.min(F.when(F.col("role") == 1, F.col("id"))).over(meet))
-    grown = grown.where(F.when(F.col("role") == 0, F.col("y")).otherwise(F.col("x")) < F.col("id")).select("id")
-    near = linked.union(swapped).union(grown).distinct().withColumn("near", F.lit(True))
+    grown = grown.select(F.when(F.col("role") == 0, F.col("y")).otherwise(F.col("x")).alias("a"), F.col("id").alias("b"))
+    hot = disk.write(swapped.union(grown).where("a < b").distinct(), "hot")
+    for end, name in (("a", "x"), ("b", "y")):
+        hot = hot.join(texts.select(F.col("id").alias(end), F.col("line").alias(name)), end)
+    pairs = pairs.union(hot.select("a", "b", "x", "y"))
+    near = _trimmed(pairs, EDITS, disk).where(banded_distance(F.col("x"), F.col("y"), EDITS) <= EDITS).select(F.greatest("a", "b").alias("id")).distinct()
+
+    marked = reps.select("id").join(disk.write(near.withColumn("near", F.lit(True)), "near"), "id", "left")
+    disk.drop_all_but("lines", "near")
+    return marked.groupBy(F.col("id.doc_id").alias("doc_id"), F.col("id.of").alias("of")).agg(
+        F.sort_array(F.collect_list(F.when(F.col("near").isNull(), F.col("id.pos")))).alias("kept"), F.count_if(F.col("near").isNotNull()).alias("n_near"))
+
 
-    marked = reps.select("id").join(written(near, "near"), "id", "left")
-    return marked.groupBy(F.col("id.doc_id").alias("doc_id")).agg(
-        F.collect_list(F.when(F.col("near").isNull(), F.col("id.pos"))).alias("kept"), F.count_if(F.col("near").isNotNull()).alias("n_near"))
+def _flags(places: Column) -> Column:
+    """An array that holds 1 at the given places (ascending) and 0 before and between them."""
+    gap = lambda p, i: p - F.coalesce(F.get(places, i - 1), F.lit(-1)) - 1
+    return F.split(F.array_join(F.transform(places, lambda p, i: F.concat(F.repeat(F.lit("0"), gap(p, i)), F.lit("1"))), ""), "")
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", shortest: int | None = None) -> DataFrame:
+def deduplicated(
+    docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST,
+    counts: tuple[str, str, str] = ("n_lines", "n_kept", "n_near"),
+) -> DataFrame:
     """The documents with lines that stand earlier taken out of ``text_col``.
 
-    Lines of ``shortest`` to ``min_chars`` code points go for equal lines only; by default lines under
-    ``min_chars`` stay. Adds ``n_lines``, ``n_kept`` and ``n_near``; all other columns stay.
+    Lines of ``shortest`` to ``min_chars`` code points go for equal lines only. All columns stay, and those
+    of ``counts`` are added: lines, lines kept, and lines that went for one an edit away. A name that the documents have already
+    raises ValueError.
     """
-    least = min_chars if shortest is None else shortest
-    kept = kept_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), min_chars, least)
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"), F.col("n_near").alias("__near"))
     own = docs.columns
-    rows = docs.join(kept, F.col(id_col).cast("long") == F.col("__id"), "left")
-    parts = F.split(F.col(text_col).cast("string"), "\n")
-    places = F.coalesce("__kept", F.array().cast("array<int>"))
-    stay = F.when(F.col(id_col).isNull(), parts).otherwise(F.filter(parts, lambda x, i: (F.char_length(x) < least) | F.array_contains(places, i)))
-    rows = rows.withColumn("__stay", stay)
+    if clash := {c.lower() for c in own} & {c.lower() for c in counts}:
+        raise ValueError(f"documents have columns {sorted(clash)}; choose other names for the counts")
+    kept = kept_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), min_chars, shortest)
+    key, of, places, near = (free_name(docs, f"dedup_{x}") for x in ("id", "of", "kept", "near"))
+    kept = kept.select(F.col("doc_id").alias(key), F.col("of").alias(of), F.col("kept").alias(places), F.col("n_near").alias(near))
+    text = F.col(text_col).cast("string")
+    rows = docs.join(kept, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(text) == F.col(of)), "left")
+    parts = F.split(text, "\n")
+    found = F.coalesce(places, F.array().cast("array<int>"))
+    stays = lambda f: F.filter(parts, lambda x, i: (F.char_length(x) < shortest) | F.coalesce(F.get(f, i) == "1", F.lit(False)))
+    fine = _let(_let(found, _flags), stays)
+    rows = rows.withColumn(places, F.when(F.col(id_col).isNull(), parts).otherwise(fine))
     return rows.select(
-        *[F.array_join("__stay", "\n").alias(c) if c == text_col else F.col(c) for c in own],
-        F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size("__stay"), F.lit(0)).alias("n_kept"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near"))
+        *[F.array_join(places, "\n").alias(c) if c == text_col else F.col(c) for c in own],
+        F.coalesce(F.size(parts), F.lit(0)).alias(counts[0]), F.coalesce(F.size(places), F.lit(0)).alias(counts[1]), F.coalesce(near, F.lit(0)).cast("long").alias(counts[2]))
 
 
 def digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -196,8 +223,9 @@ def digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 ORACLE = f"""
 WITH l AS (SELECT doc_id, i - 1 AS pos, string_split(text, chr(10))[i] AS line
            FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)),
-f AS (SELECT line, min({{'d': doc_id, 'p': pos}}) AS id, length(line) AS n FROM l WHERE length(line) >= {MIN_CHARS} GROUP BY line),
-halves AS (SELECT *, left(line, n // 2) AS l0, substr(line, n // 2 + 1) AS r0, left(line, (n - 1) // 2) AS l1, substr(line, (n - 1) // 2 + 2) AS r1 FROM f),
+f AS (SELECT line, min({{'d': doc_id, 'p': pos}}) AS id, length(line) AS n FROM l WHERE length(line) >= {SHORTEST} GROUP BY line),
+long AS (SELECT * FROM f WHERE n >= {MIN_CHARS}),
+halves AS (SELECT *, left(line, n // 2) AS l0, substr(line, n // 2 + 1) AS r0, left(line, (n - 1) // 2) AS l1, substr(line, (n - 1) // 2 + 2) AS r1 FROM long),
 met AS (SELECT a.line AS x, b.line AS y, greatest(a.id, b.id) AS id FROM halves a JOIN halves b ON a.n = b.n AND a.l0 = b.l0 WHERE a.id < b.id
   UNION SELECT a.line, b.line, greatest(a.id, b.id) FROM halves a JOIN halves b ON a.n = b.n AND a.r0 = b.r0 WHERE a.id < b.id
   UNION SELECT a.line, b.line, greatest(a.id, b.id) FROM halves a JOIN halves b ON a.n + 1 = b.n AND a.l0 = b.l1

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from dhwani.llm import linededup
@@ -15,15 +16,16 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(docs, least):
+def brute(docs, least, shortest=1):
     first = {}
     for d, t in sorted(docs):
         for p, line in enumerate((t or "").split("\n")):
-            if len(line) >= least:
+            if len(line) >= shortest:
                 first.setdefault(line, (d, p))
-    gone = {b for x, a in first.items() for y, b in first.items() if a < b and abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1}
+    long = [(x, a) for x, a in first.items() if len(x) >= least]
+    gone = {b for x, a in long for y, b in long if a < b and abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1}
     keep = set(first.values()) - gone
-    return {d: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if len(x) < least or (d, p) in keep) for d, t in docs}
+    return {d: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if len(x) < shortest or (d, p) in keep) for d, t in docs}
 
 
 def corpus(seed):
@@ -46,8 +48,8 @@ def test_against_brute_force(rows, monkeypatch):
     docs = corpus(1)
     for hot in (16, 2):
         monkeypatch.setattr(linededup, "HOT", hot)
-        got = {r.doc_id: r.text for r in linededup.deduplicated(rows(docs), 3).collect()}
-        assert got == brute(docs, 3)
+        got = {r.doc_id: r.text for r in linededup.deduplicated(rows(docs), 3, shortest=2).collect()}
+        assert got == brute(docs, 3, 2)
 
 
 def test_banded_distance(rows):
@@ -81,6 +83,22 @@ def test_edges(rows):
     assert linededup.deduplicated(rows([])).count() == 0
 
 
+def test_clashing_names_and_ids(rows):
+    line = "a line that is long enough"
+    clash = rows([(1, line, 7, 8), (1, f"{line}s\nother words stand here", 9, 8)], "doc_id long, text string, n_kept int, dedup_id int")
+    with pytest.raises(ValueError):
+        linededup.deduplicated(clash)
+    got = linededup.deduplicated(clash, counts=("a", "b", "c")).collect()
+    assert [r.n_kept for r in got if line in r.text.split("\n") or f"{line}s" in r.text.split("\n")] in ([7], [9])  # the other text of the id loses its line
+    assert sum(r.b for r in got) == 2 and all(r.dedup_id == 8 for r in got)
+
+
+def test_long_text_and_ties(rows):
+    many = "\n".join(f"line number {n:06d} of a very long text" for n in range(0, 30_000, 11))
+    got = {r.doc_id: r.n_kept for r in linededup.deduplicated(rows([(2, many), (1, many)])).collect()}
+    assert got[2] == 0 and got[1] > 0
+
+
 def test_short_lines_go_for_equal_ones(spark, rows):
     import corpus_pipeline
 
