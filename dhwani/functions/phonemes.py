@@ -21,9 +21,14 @@ YA, HA, AA, E_SIGN, O_SIGN, RI_SIGN = "য", "হ", "া", "ে", "ো", "ৃ"
 
 
 def _lookup(table: dict) -> Column:
-    """A map literal; values are strings or lists of strings."""
-    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
-    return F.map_from_arrays(F.array(*map(F.lit, table)), F.array(*[value(v) for v in table.values()]))
+    """A map literal, folded from two strings; values are strings, or lists joined by a space."""
+    values = (v if isinstance(v, str) else " ".join(v) for v in table.values())
+    return F.map_from_arrays(*[F.split(F.lit("\t".join(x)), "\t") for x in (table, values)])
+
+
+def _letter(table: dict[str, str], letter: Column) -> Column:
+    """What a table of single letters has for a letter, or null."""
+    return F.get(F.split(F.lit("\t".join(table.values())), "\t"), F.instr(F.lit("".join(table)), letter) - 1)
 
 
 def _cluster(raw: Column) -> Column:
@@ -135,15 +140,15 @@ def _consonant_tokens(at: At, x: Column) -> Column:
     long_ya = F.coalesce((x["sign"] == AA) & many & ends_ya, F.lit(False))
     at_start = {k: v for k, v in (T.CONJUNCTS | T.INITIAL).items()}
     elsewhere = T.CONJUNCTS | T.NOT_INITIAL
-    fused = F.when(at.initial(), F.try_element_at(_lookup(at_start), spelled)).otherwise(F.try_element_at(_lookup(elsewhere), spelled))
+    fused = F.split(F.when(at.initial(), F.try_element_at(_lookup(at_start), spelled)).otherwise(F.try_element_at(_lookup(elsewhere), spelled)), " ")
     letters = F.when(long_ya, F.slice(x["cons"], F.lit(1), F.size(x["cons"]) - 1)).otherwise(x["cons"])
-    single = F.transform(letters, lambda c: F.try_element_at(_lookup(T.CONSONANTS), c))
+    single = F.transform(letters, lambda c: _letter(T.CONSONANTS, c))
     onset = F.when(fused.isNotNull(), fused).when((spelled == HA) & F.coalesce(x["sign"] == RI_SIGN, F.lit(False)), none).otherwise(single)
     inherent = F.when(at.final(), "O").when((F.size(x["cons"]) == 1) & (at.harmony() | at.penultimate()), "O").otherwise("o")
     nucleus = (
         F.when(x["sign"] == NO_VOWEL, none).when(long_ya & at.initial(), one("A"))
         .when(x["sign"] == E_SIGN, one(F.when(at.open_e(), "E").otherwise("e")))
-        .when(x["sign"].isNotNull(), one(F.try_element_at(_lookup(T.SIGNS), x["sign"])))
+        .when(x["sign"].isNotNull(), one(_letter(T.SIGNS, x["sign"])))
         .when(spelled == T.KHANDA_TA, none).when(spelled.isin(T.INHERENT_A) & at.initial(), one("A"))
         .when(at.keeps_vowel(), one(inherent)).otherwise(none)
     )
@@ -153,13 +158,13 @@ def _consonant_tokens(at: At, x: Column) -> Column:
 def _with_marks(tokens: Column, x: Column) -> Column:
     nasal = bind(tokens, lambda a: F.when(x["nasal"] & (F.size(a) > 0), F.concat(
         F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), F.lit("~"))))).otherwise(a))
-    return F.concat(nasal, F.when(x["diac"].isNotNull(), F.array(F.try_element_at(_lookup(T.MARKS), x["diac"]))).otherwise(_strings()))
+    return F.concat(nasal, F.when(x["diac"].isNotNull(), F.array(_letter(T.MARKS, x["diac"]))).otherwise(_strings()))
 
 
 def cluster_tokens(all_: Column, i: Column, x: Column) -> Column:
     """Tokens of the cluster ``x`` at place ``i`` of ``all_``."""
     at = At(all_, i)
-    vowel = F.when(at.absorbed(), _strings()).otherwise(_with_marks(F.array(F.try_element_at(_lookup(T.VOWELS), x["vowel"])), x))
+    vowel = F.when(at.absorbed(), _strings()).otherwise(_with_marks(F.array(_letter(T.VOWELS, x["vowel"])), x))
     space = F.when(x["ch"].rlike(f"^{T.WS}$"), F.array(F.lit(BAR))).otherwise(_strings())
     return F.when(x["kind"] == "P", space).when(x["kind"] == "V", vowel).otherwise(_with_marks(_consonant_tokens(at, x), x))
 

@@ -36,22 +36,25 @@ def digits_to_ascii(text: Column) -> Column:
     return F.translate(text, T.DIGITS, "0123456789")
 
 
+@lru_cache
+def _under_thousand() -> str:
+    """The words of 0 to 999, a line each."""
+    words = T.NUMBER_WORDS
+    hundreds = [words[n // 100] + T.HUNDRED + (" " + words[n % 100] if n % 100 else "") for n in range(100, 1000)]
+    return "\n".join([*words, *hundreds])
+
+
 def number_words(n: Column) -> Column:
     """Words of an integer from 0 to 9999; larger ones stay decimal digits, negative ones too."""
-    words = F.array(*[F.lit(w) for w in T.NUMBER_WORDS])
+    words = F.split(F.lit(_under_thousand()), "\n")  # folded to a literal
     n = n.cast("long")
-
-    def upto(value: Column, unit: int, word: Column) -> Column:
-        rest = value % unit
-        below = F.get(words, rest.cast("int")) if unit == 100 else under_thousand(rest)
-        return F.when(rest == 0, word).otherwise(F.concat(word, F.lit(" "), below))
-
-    def under_thousand(value: Column) -> Column:
-        hundreds = F.concat(F.get(words, F.floor(value / 100).cast("int")), F.lit(T.HUNDRED))
-        return F.when(value < 100, F.get(words, value.cast("int"))).otherwise(upto(value, 100, hundreds))
-
+    rest = (n % 1000).cast("int")
     thousands = F.concat(F.get(words, F.floor(n / 1000).cast("int")), F.lit(" " + T.THOUSAND))
-    return F.when((n < 0) | (n > 9999), n.cast("string")).when(n < 1000, under_thousand(n)).otherwise(upto(n, 1000, thousands))
+    below = F.get(words, rest)
+    return (
+        F.when((n < 0) | (n > 9999), n.cast("string")).when(n < 1000, below).when(rest == 0, thousands)
+        .otherwise(F.concat(thousands, F.lit(" "), below))
+    )
 
 
 def normalize_numbers(text: Column) -> Column:
@@ -59,9 +62,9 @@ def normalize_numbers(text: Column) -> Column:
     text = F.translate(text, *decimal_digits())
 
     def piece(run: Column) -> Column:
-        value = F.regexp_replace(run, "^0+(?=.)", "")
-        spoken = F.when(F.length(value) <= 4, number_words(value.try_cast("long"))).otherwise(value)
-        return F.when(run.rlike("^[0-9]"), spoken).otherwise(run)
+        value = F.concat(F.ltrim(F.substring(run, F.lit(1), F.length(run) - 1), F.lit("0")), F.substring(run, -1, 1))
+        spoken = bind(value, lambda v: F.when(F.length(v) <= 4, bind(v.try_cast("long"), number_words)).otherwise(v))
+        return F.when(run.between("0", ":") & (run != ":"), spoken).otherwise(run)
 
     runs = F.regexp_extract_all(text, F.lit(r"(?s)([0-9]+|[^0-9]+)"), 1)
     return F.when(text.rlike("[0-9]"), F.array_join(F.transform(runs, piece), "")).otherwise(text)
