@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -46,13 +48,14 @@ class Scratch:
         self.spark = spark
         self.paths: list[tuple[str, str]] = []
 
-    def write(self, df: DataFrame, tag: str) -> DataFrame:
-        """The table, written and read back.
-
-        Collecting garbage first lets Spark's cleaner drop the shuffle files of steps that are done.
-        """
+    def tidy(self) -> None:
+        """Collects garbage, so that Spark's cleaner drops the shuffle files of steps that are done."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        """The table, written and read back, after what earlier steps shuffled is dropped."""
+        self.tidy()
         path = f"{scratch_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         self.paths.append((tag, path))
@@ -83,6 +86,14 @@ def bound_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
         spark.conf.set(name, str(limit))
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, which the allocators of Arrow and C would keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, prolonged until no column of ``df`` has it in any case of letters."""
     taken = {c.lower() for c in df.columns}
