@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dhwani.llm.common import bound_batches
+
 #: How the byte-level pre-tokenizer cuts text: a fixed value of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of Latin characters only, where its classes are plain ranges; finds any other character.
@@ -257,6 +259,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         if ids:
             yield from flush(coder, ids, texts)
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decode)
 

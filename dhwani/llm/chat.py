@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dhwani.llm.common import bound_batches
+
 #: Fixed values of the template: opening and closing control strings by role.
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 ROLE, TURN = ("[ROLE]", "[/ROLE]"), ("[TURN]", "[/TURN]")
@@ -128,8 +130,13 @@ class Pack:
         return pa.RecordBatch.from_pylist([{"text": "".join(self.parts), "nodes": self.nodes, "leaves": self.leaves}], _PACK_ARROW)
 
 
-def packs(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Packed prefix trees: one row per pack, see ``PACK_SCHEMA``."""
+def packs(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", pack_conversations: int | None = None, pack_chars: int | None = None) -> DataFrame:
+    """Packed prefix trees: one row per pack, see ``PACK_SCHEMA``.
+
+    A pack ends at ``pack_conversations`` conversations (by default ``PACK_CONVERSATIONS``) or at ``pack_chars`` characters (``PACK_CHARS``).
+    """
+    bound_batches(rows.sparkSession)
+    most, size = pack_conversations or PACK_CONVERSATIONS, pack_chars or PACK_CHARS
     rows = rows.select(
         F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -144,7 +151,7 @@ def packs(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role
             turns = batch.column("turns")
             for i, conv_id in enumerate(batch.column("conv_id").to_pylist()):
                 pack.add(conv_id, [(t["role"], t["text"]) for t in turns[i].as_py()])
-                if len(pack.leaves) >= PACK_CONVERSATIONS or pack.size >= PACK_CHARS:
+                if len(pack.leaves) >= most or pack.size >= size:
                     yield pack.row()
                     pack = Pack()
         if pack.leaves:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dhwani.llm.common import text_chunks
+from dhwani.llm.common import bound_batches, text_chunks
 from dhwani.llm.wordhash import U, byte_hashes, mix
 
 # Notices and short licences by name.
@@ -241,6 +241,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
                 cols = dict(zip(names, zip(*rows, strict=True), strict=True))
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.string() if c == "license" else pa.int64()) for c, v in cols.items()})
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, license string, matched long, total long, n_units long, first_word long, n_words long")
 

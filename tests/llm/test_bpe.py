@@ -39,3 +39,12 @@ def test_forgetting(monkeypatch):
     first = coder.encode(["some words here", "others"])
     coder.encode(["entirely new things to learn"])
     assert coder.encode(["some words here", "others"]) == first
+
+
+def test_clashes_repeats_and_long_texts(rows):
+    path = P.path("byte_bpe_50k.json")
+    long = "word " * 100_000 + "a" * 20_000
+    wide = rows([(1, long, "x"), (1, long, "y"), (1, "z", None)], "doc_id long, text string, ids string")
+    want = tokenizers.Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids
+    got = sorted(r.n_tokens for r in bpe.digests(wide, path).collect())
+    assert got == [1, len(want), len(want)]

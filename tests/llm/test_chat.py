@@ -47,3 +47,10 @@ def test_small_packs_and_empty(rows, monkeypatch):
     monkeypatch.setattr(chat, "PACK_CONVERSATIONS", 1)
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.packs(rows(DATA, SCHEMA))).collect()}
     assert got == want(DATA)
+
+
+def test_clashing_names_and_long_turns(rows):
+    data = [(1, 0, "user", "x" * 300_000, "a", 1), (1, 1, "assistant", "<s>" * 1000, "b", 2)]
+    wide = rows(data, SCHEMA + ", path string, turns int")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.packs(wide)).collect()}
+    assert got == want([d[:4] for d in data])

@@ -82,3 +82,9 @@ def test_repetitive_and_long_texts(monkeypatch):
     monkeypatch.setattr(decontam, "PIECE", 200)
     monkeypatch.setattr(decontam, "HITS", 64)
     assert decontam.Index(items, 0.05).find(texts) == whole
+
+
+def test_ties_go_to_the_first_place():
+    index = decontam.Index([(1, b"the quick brown fox jumps"), (2, b"the quick brown fox jumps")], 0.05)
+    text = b"the quick brown fix jumps; the quick brown fox jumps, the quick brown fox jumps"
+    assert index.find([text]) == [(0, 0, 0, 27, 52), (0, 1, 0, 27, 52)]

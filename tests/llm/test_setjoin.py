@@ -85,3 +85,12 @@ def test_plans_cover_the_bound():
 def test_low_thresholds_raise(rows):
     with pytest.raises(ValueError):
         setjoin.near_duplicates(rows([(1, "a b c d e")]), percent=75)
+
+
+def test_long_texts_and_ids_with_two_texts(rows):
+    r = random.Random(7)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(150_000))  # 1 MB: hashed in pieces
+    near = long.replace(" w1", " v1", 50)
+    text = "one two three four five six seven eight nine ten"
+    docs = [(5, long), (4, near), (9, "a b c d e f g"), (9, text), (7, text), (8, "A b c d e f g")]
+    assert got(rows(docs)) == sorted([(4, len(shingles(near)), 4), (5, len(shingles(long)), 4), (9, 3, 7), (9, 6, 7), (7, 6, 7), (8, 3, 7)])
