@@ -293,7 +293,7 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     With all elements in one order (number of sets that hold it, then hash), linked sets of sizes a and b
     share at least ``o = ceil(percent * (a + b) / (100 + percent))`` elements, so one of the first
     ``a - o + 1`` of the one is among the first ``b - o + 1`` of the other. They meet by an element and the
-    size classes of both. Elements that one set alone holds, or one component, meet nothing.
+    size classes of both, of which only those that the element's holders span are written. Elements that one set alone holds, or one component, meet nothing.
     """
     low, first, last = size_classes(percent)
 
@@ -303,16 +303,17 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
             h = [np.frombuffer(x.as_buffer(), np.int64) for x in items]
             n = np.array([len(x) for x in h], np.int64)
             at = np.repeat(np.arange(len(n)), n)
-            cols = {c: batch.column(c).to_numpy()[at] for c in ("name", "component")}
+            cols = {c: batch.column(c).to_numpy()[at] for c in ("name", "n", "component")}
             yield pa.RecordBatch.from_pydict({"key": np.concatenate([*h, np.empty(0, np.int64)]), **cols})
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, n, at = (batch.column(c).to_numpy() for c in ("key", "n", "at"))
-            c = np.searchsorted(low, n, "right") - 1
-            many = last[c] - first[c] + 1
+            key, n, at, least, most = (batch.column(c).to_numpy() for c in ("key", "n", "at", "least", "most"))
+            c, a, z = (np.searchsorted(low, x, "right") - 1 for x in (n, least, most))
+            begin = np.maximum(first[c], a)  # a partner holds the element too
+            many = np.maximum(np.minimum(last[c], z) - begin + 1, 0)
             row = np.repeat(np.arange(len(c)), many)
-            other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[c][row]
+            other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + begin[row]
             share = -(-percent * (n[row] + np.maximum(low[other], -(-percent * n[row] // 100))) // (100 + percent))
             ok = at[row] <= n[row] - share + 1
             row, other = row[ok], other[ok]
@@ -320,15 +321,16 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
             cols = {k: batch.column(k).to_numpy()[row] for k in ("name", "n", "component", "lone", "at")}
             yield pa.RecordBatch.from_pydict({"key": mix(key[row].view(np.uint64) + mix(pair.astype(np.uint64))).view(np.int64), **cols})
 
-    items = sets.select("name", "component", "items").mapInArrow(spread, "key long, name long, component long")
-    held = items.groupBy("key").agg(F.count(F.lit(1)).alias("often"), (F.min("component") < F.max("component")).alias("open")).where("often > 1")
-    shared = items.join(held, "key").join(sets.select("name", "n"), "name")
+    items = sets.select("name", "n", "component", "items").mapInArrow(spread, "key long, name long, n long, component long")
+    held = items.groupBy("key").agg(
+        F.count(F.lit(1)).alias("often"), (F.min("component") < F.max("component")).alias("open"), F.min("n").alias("least"), F.max("n").alias("most"))
+    shared = items.join(held.where("often > 1"), "key")
     own = Window.partitionBy("name")
     lone = F.col("n") - F.count(F.lit(1)).over(own)
     at = lone + F.row_number().over(own.orderBy("often", "key"))
     loosest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rare = shared.withColumn("lone", lone).withColumn("at", at).where((F.col("at") <= loosest) & F.col("open"))
-    rare = rare.select("key", "name", "n", "component", "lone", "at").mapInArrow(expand, "key long, name long, n long, component long, lone long, at long")
+    rare = rare.select("key", "name", "n", "component", "lone", "at", "least", "most").mapInArrow(expand, "key long, name long, n long, component long, lone long, at long")
     x, y = (rare.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("name", "n", "component", "lone", "at")]) for side in "ab")
     # the classes are a little loose: by the pair's own sizes, neither side may have fewer elements from here on than must be
     # shared, nor may the elements of one side alone be more than the sets may differ by
