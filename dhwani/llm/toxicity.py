@@ -1,15 +1,19 @@
 """Toxicity by classifier chains.
 
 Method. Categories are predicted in sequence by logistic models over the hashed presence of
-words and word beginnings and a few shape features; each later model also sees the earlier categories' probabilities. While training, those
-are out-of-fold predictions, so that later models learn from probabilities as good as they will get.
+words and word beginnings and a few shape features; each later model also sees the earlier categories'
+probabilities. While training, those are out-of-fold predictions, so that later models learn from
+probabilities as good as they will get. A word gets a weight in a category if it stands in ``LEAST_DOCS``
+sampled documents and its documents' rate of positives is ``SIGNIFICANT`` deviations from the sample's;
+with few labels, the models rest on the shape features.
 
-The models are fitted on at most ``train_rows`` labelled documents, those of smallest id hash (a bound,
-see ``fit``); every document is scored, in one pass without a shuffle. What is broadcast is one weight
-table of ``2^BITS`` numbers per category.
+The models are fitted on at most ``train_rows`` labelled documents of at most ``train_bytes`` bytes each, those of
+smallest id hash (a bound, see ``fit``); every document is scored, in one pass without a shuffle. What is
+broadcast is one weight table of ``2^BITS`` numbers per category.
 
 Defined results. Null or empty text: scored on no words. Labels that are null are left out; ids labelled
-more than once take their highest label. Repeated rows repeat. Null ids are scored. With no labels, or
+more than once take their highest label. Repeated rows repeat; of an id with several texts, one (of smallest
+hash) can be in the sample. Null ids are scored. With no labels, or
 one class only, a category's probability is its rate in the sample (0 without rows). Extra columns are
 ignored. Empty table: empty result.
 """
@@ -23,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dhwani.llm.common import text_chunks
-from dhwani.llm.wordhash import U, words
+from dhwani.llm.common import bound_batches, release_memory, text_chunks
+from dhwani.llm.wordhash import U, mix, words
 
 BITS = 18
 SHAPES = 5
@@ -137,13 +141,16 @@ class Chain:
         return np.column_stack(done)
 
 
-def fit_chain(row: np.ndarray, slot: np.ndarray, shapes: np.ndarray, labels: np.ndarray) -> tuple[Chain, np.ndarray]:
-    """A chain over the columns of ``labels`` (NaN where unknown), and its out-of-fold probabilities."""
+def fit_chain(row: np.ndarray, slot: np.ndarray, shapes: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> tuple[Chain, np.ndarray]:
+    """A chain over the columns of ``labels`` (NaN where unknown), and its out-of-fold probabilities.
+
+    Folds go by the hash of the id.
+    """
     n = len(shapes)
     often = np.bincount(slot, minlength=1 << BITS) >= LEAST_DOCS
     keep = often[slot]
     used, col = np.unique(slot[keep], return_inverse=True)
-    fold = np.arange(n) % FOLDS
+    fold = (mix(ids.astype(np.int64).view(np.uint64)) % U(FOLDS)).astype(np.int64)
     weights, out = [], []
     for k in range(labels.shape[1]):
         y = np.nan_to_num(labels[:, k])
@@ -172,16 +179,18 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float(p[order][int(np.argmax(f1))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], train_rows: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> tuple[Chain, list[float]]:
+def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], train_rows: int = 5000, id_col: str = "doc_id", text_col: str = "text", train_bytes: int = 1 << 20) -> tuple[Chain, list[float]]:
     """A chain and a cut per category, from at most ``train_rows`` labelled documents.
 
-    The sample is the labelled ids of smallest hash; only their features reach the driver.
+    The sample is the labelled ids of smallest hash, one text each; only their features reach the driver.
     """
+    bound_batches(docs.sparkSession)
     width = len(categories)
     picked = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.col(c)).cast("double").alias(f"y{k}") for k, c in enumerate(categories)])
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(picked), "doc_id")  # at most train_rows rows
+    rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= train_bytes).join(F.broadcast(picked), "doc_id")  # at most train_rows ids
+    rows = rows.groupBy("doc_id", *[f"y{k}" for k in range(width)]).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +209,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], train_row
         return Chain([(np.zeros(1 << BITS, np.float32), np.append(np.zeros(SHAPES + k), -20.0)) for k in range(width)]), [0.5] * width
     row = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
     y = np.array(got["y"], float).reshape(len(slots), width)
-    chain, out = fit_chain(row, np.concatenate(slots), np.array(got["shapes"]), y)
+    shapes, ids, slot = np.array(got["shapes"]), np.array(got["doc_id"]), np.concatenate(slots)
+    del got, slots
+    chain, out = fit_chain(row, slot, shapes, y, ids)
+    del row, slot, shapes
+    release_memory()
     return chain, [best_cut(out[:, k][~np.isnan(y[:, k])], y[:, k][~np.isnan(y[:, k])]) for k in range(width)]
 
 
@@ -211,13 +224,17 @@ def score(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("qual
     """
     chain, cuts = fit(docs, labels, categories, train_rows, id_col, text_col)
     held = docs.sparkSession.sparkContext.broadcast(chain.weights)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if with_row else []))
+    ids, text = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    docs_columns = docs.columns
+    inside = with_row and docs.schema[text_col].dataType.typeName() == "string"  # the row holds the text: sent once
+    rows = docs.select(ids, *([] if inside else [text]), *([F.struct("*").alias("row")] if with_row else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = Chain(held.value)
         for batch in batches:
             at = 0
-            for ids, texts in text_chunks([batch], "doc_id", "text"):
+            of = batch.column("row").field(docs_columns.index(text_col)) if inside else batch.column("text")
+            for ids, texts in text_chunks([pa.record_batch([batch.column("doc_id"), of], ["doc_id", "text"])], "doc_id", "text"):
                 p = fitted.predict(*features(texts))
                 cols = {"doc_id": pa.array(ids, pa.int64())}
                 for k, c in enumerate(categories):
