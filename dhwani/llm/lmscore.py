@@ -3,9 +3,10 @@
 Method. A target model and a background model share one vocabulary: all words of all documents, or the
 ``size`` most frequent ones if a size is given (other words then fall into ``UNKNOWN`` classes by their
 length in bytes). Both are interpolated bigram models with the same constants, counted over all documents
-(background) and over all documents of the target (target). A document's score is the mean over its
-tokens of the loss under the target model minus the loss under the background model: low scores are most
-like the target.
+(background) and over all documents of the target (target). A document is scored by models that have not
+seen it: its own counts are taken out of both (out of the target's only if it is in the target), while its copies'
+stay in. Its score is the mean over its tokens of the loss under the target model minus the loss under the
+background model: low scores are most like the target.
 
 No table of the model is broadcast or collected. Documents are dealt into chunks of about ``CHUNK`` bytes
 by their id. A chunk sends the counts of its distinct words and pairs, by 64-bit hash, to buckets of the
@@ -20,15 +21,15 @@ Empty table: empty result.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dhwani.llm.common import CHUNK_BYTES, text_chunks, written
+from dhwani.llm.common import CHUNK_BYTES, Scratch, bound_batches, text_chunks
 from dhwani.llm.wordhash import U, mix, words
 
 UNKNOWN = 32
@@ -41,6 +42,7 @@ CHUNK = 3 << 20
 LEAST = 24
 _CLASS = mix(np.arange(1, UNKNOWN + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
 _EDGE = U(0x5851F42D4C957F2D)
+_ZSTD = pa.Codec("zstd", 1)
 _PAIR = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 
 
@@ -102,11 +104,13 @@ def pairs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """64-bit numbers by byte planes: small ones leave planes of zeros, which the shuffle compresses."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """64-bit numbers by byte planes, compressed: small ones leave planes of zeros."""
+    data = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
 
 
 def _unpacked(data: bytes, kind=np.int64) -> np.ndarray:
+    data = _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
@@ -143,11 +147,7 @@ def _sent(n_buckets: int, vocabulary: np.ndarray | None):
         out: dict[str, list] = {c.split()[0]: [] for c in _SENT.split(", ")}
         if docs.num_rows:
             n, w, at, before, p, pair_at = _distinct(_texts(docs), vocabulary)
-            ids = docs.column("doc_id").combine_chunks()
-            inside = np.zeros(len(n), bool)
-            if good.num_rows:
-                inside = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), good.column("doc_id").to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
-            mine = np.repeat(inside, n)
+            mine = np.repeat(_inside(docs.column("doc_id"), good.column("doc_id")), n)
             count = lambda x, size: np.bincount(x[x >= 0], minlength=size)
             of_words = [count(at, len(w)), count(at[mine], len(w)), count(before, len(w)), count(before[mine], len(w))]
             of_pairs = [count(pair_at, len(p)), count(pair_at[mine], len(p))]
@@ -194,18 +194,37 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({c.split()[0]: out[c.split()[0]] for c in _SUMS.split(", ")})
 
 
+def _own(owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How often every token's ``place`` occurs in the token's own text."""
+    _, at, n = np.unique(owner * (int(place.max(initial=0)) + 2) + place + 1, return_inverse=True, return_counts=True)
+    return n[at].astype(np.int32)
+
+
+def _inside(ids: pa.ChunkedArray, good: pa.ChunkedArray) -> np.ndarray:
+    """Which documents are in the target."""
+    ids = ids.combine_chunks()
+    if not len(good):
+        return np.zeros(len(ids), bool)
+    return np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), good.to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
 def _scored(vocabulary: np.ndarray | None, types: int, n_tokens: tuple[int, int], n_texts: tuple[int, int]):
     def run(docs: pa.Table, sums: pa.Table) -> pa.Table:
         n, w, at, before, p, pair_at = _distinct(_texts(docs), vocabulary)
+        inside = _inside(docs.column("doc_id"), sums.column("doc_id").drop_null())
+        sums = sums.filter(pc.is_valid(sums.column("word_counts")))
         rows = sorted(zip(*(sums.column(c).to_pylist() for c in ("bucket", "word_counts", "pair_counts")), strict=True))
         joined = lambda i, kinds: np.concatenate([np.zeros((kinds, 0), np.int64), *(_unpacked(r[i]).reshape(kinds, -1) for r in rows)], 1)
         of_words, of_pairs = joined(1, 4), joined(2, 2)
         owner = np.repeat(np.arange(len(n)), n)
+        own_word, own_history, own_pair = _own(owner, at), _own(owner, before), _own(owner, pair_at)
         means = []
         for i in (1, 0):  # the target, the background
-            one = (of_words[i] + 1.0) / (n_tokens[i] + types)
-            history = np.append(of_words[2 + i], n_texts[i])[before]  # the last one is the edge's
-            loss = -np.log((of_pairs[i][pair_at] + PRIOR * one[at]) / (history + PRIOR))
+            mine = inside if i else np.ones(len(n), bool)
+            out, had = mine[owner], n_tokens[i] - n * mine
+            one = (of_words[i][at] - own_word * out + 1.0) / (had[owner] + types)
+            history = np.append(of_words[2 + i], n_texts[i])[before] - own_history * out  # the last one is the edge's
+            loss = -np.log((of_pairs[i][pair_at] - own_pair * out + PRIOR * one) / (history + PRIOR))
             with np.errstate(invalid="ignore"):
                 means.append(np.bincount(owner, loss, len(n)) / n)
         cols = {"doc_id": docs.column("doc_id").combine_chunks(), "n_tokens": pa.array(n.astype(np.int64))}
@@ -221,6 +240,7 @@ def score(docs: DataFrame, target_ids: DataFrame, size: int | None = None, id_co
 
     ``target_ids`` holds the ids (doc_id) of the target's documents.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks, n_buckets = max(LEAST, -(-held // CHUNK)), max(LEAST, -(-held // (2 * CHUNK)))
@@ -231,14 +251,16 @@ def score(docs: DataFrame, target_ids: DataFrame, size: int | None = None, id_co
 
     chunk = lambda x: F.pmod(F.xxhash64(x), F.lit(n_chunks)).cast("int").alias("chunk")
     rows = rows.select(chunk(F.coalesce("doc_id", F.xxhash64("text"))), "doc_id", "text").groupBy("chunk")
-    good = target_ids.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().select(chunk(F.col("doc_id")), "doc_id").groupBy("chunk")
-    sent = rows.cogroup(good).applyInArrow(_sent(n_buckets, vocabulary), _SENT)
-    sums = written(sent.groupBy("bucket").applyInArrow(_summed, _SUMS), "sums")
+    good = target_ids.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().select(chunk(F.col("doc_id")), "doc_id")
+    sent = rows.cogroup(good.groupBy("chunk")).applyInArrow(_sent(n_buckets, vocabulary), _SENT)
+    disk = Scratch(docs.sparkSession)
+    sums = disk.write(sent.groupBy("bucket").applyInArrow(_summed, _SUMS), "sums")
     totals = sums.where("totals is not null").agg(*[F.sum(F.col("totals")[i]) for i in range(5)]).first()
     types, *n = [x or 0 for x in totals]
     types = (types if vocabulary is None else len(vocabulary)) + UNKNOWN
     texts = (n[0] - n[2], n[1] - n[3])  # every word but a text's last is the history of one
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    scored = rows.cogroup(sums.select("chunk", "bucket", "word_counts", "pair_counts").groupBy("chunk"))
+    del sent
+    disk.tidy()
+    back = sums.select("chunk", "bucket", "word_counts", "pair_counts").unionByName(good, allowMissingColumns=True)
+    scored = rows.cogroup(back.groupBy("chunk"))
     return scored.applyInArrow(_scored(vocabulary, types, (n[0], n[1]), texts), "doc_id long, n_tokens long, target_loss double, background_loss double, loss_difference double")

@@ -11,6 +11,7 @@ from dhwani.llm import licenses, lmscore, toxicity
 
 
 def plain_losses(docs, good, size):
+    """Losses under models that count all other rows."""
     low = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
     count = Counter(w for _, t in docs for w in low(t))
     vocabulary = {w for w, _ in count.most_common(size)}
@@ -25,11 +26,12 @@ def plain_losses(docs, good, size):
                 uni.update(w[1:])
                 bi.update(zip(w, w[1:], strict=False))
                 hist.update(w[:-1])
-        total = sum(uni.values()) + types
-        p = lambda a, b: (bi[a, b] + lmscore.PRIOR * (uni[b] + 1) / total) / (hist[a] + lmscore.PRIOR)  # noqa: B023, E731
         rows = {}
         for i, t in docs:
             w = ["<edge>", *map(name, low(t))]
+            u, o, g = (Counter(x) if keep(i) else Counter() for x in (w[1:], zip(w, w[1:], strict=False), w[:-1]))
+            total = sum(uni.values()) - sum(u.values()) + types
+            p = lambda a, b: (bi[a, b] - o[a, b] + lmscore.PRIOR * (uni[b] - u[b] + 1) / total) / (hist[a] - g[a] + lmscore.PRIOR)  # noqa: B023, E731
             rows[i] = -sum(math.log(p(a, b)) for a, b in zip(w, w[1:], strict=False)) / (len(w) - 1) if len(w) > 1 else None
         out.append(rows)
     return out
@@ -127,3 +129,31 @@ def test_licence_windows_against_brute_force():
         at = np.flatnonzero(np.isin(grams, np.fromiter(template, np.uint64)))
         got = max((m for m, _ in licenses._windows(at, grams, template, size, 0.6, 0, len(grams))), default=0)
         assert got == (want if want >= 0.6 * size - 1e-9 else 0)
+
+
+def test_vocabulary_ties_ids_and_clashes(rows):
+    """Of words as frequent as each other, those of smaller hash are in the vocabulary; null ids are background."""
+    docs = [(1, "a b c d"), (2, "d c b a"), (None, "a b"), (2, "d c b a")]
+    one, two = (lmscore.score(rows(d), rows([(1,)], "doc_id long"), size=3).collect() for d in (docs, docs[::-1]))
+    key = lambda x: (x.doc_id or 0, x.n_tokens, round(x.target_loss, 9), round(x.background_loss, 9))
+    assert sorted(map(key, one)) == sorted(map(key, two)) and len(one) == 4
+    wide = rows([(1, "a b c", "x", "y")], "doc_id long, text string, chunk string, n_tokens string")
+    assert lmscore.score(wide, rows([(1,)], "doc_id long")).first().n_tokens == 3
+
+
+def test_chain_of_three(rows):
+    """A later category that is the two earlier ones together is learnt from them; repeated ids stand in the sample once."""
+    r = random.Random(2)
+    docs, labels = [], []
+    for i in range(1200):
+        a, b = r.random() < 0.4, r.random() < 0.4
+        w = [f"w{r.randrange(500)}" for _ in range(30)] + ["vile"] * a + ["spam"] * b
+        r.shuffle(w)
+        docs += [(i, " ".join(w))] * (1 + (i % 50 == 0))
+        labels.append((i, int(a), int(b), int(a or b)))
+    table = rows(labels[:800], "doc_id long, rude int, ads int, bad int")
+    got = {x.doc_id: x for x in toxicity.score(rows(docs), table, ("rude", "ads", "bad")).collect()}
+    for c, at in (("rude", 1), ("ads", 2), ("bad", 3)):
+        assert np.mean([getattr(got[i], f"is_{c}") == bool(labels[i][at]) for i in range(800, 1200)]) > 0.97, c
+    chain, _ = toxicity.fit(rows(docs), table, ("rude", "ads", "bad"))
+    assert [len(v) for _, v in chain.weights] == [toxicity.SHAPES + 1, toxicity.SHAPES + 2, toxicity.SHAPES + 3]
